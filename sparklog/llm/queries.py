@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparklog.llm import token_binary
+from sparklog.llm import decontaminate, simhash, token_binary
 from sparklog.llm.common import table
 
 #: Folder of the public vocabulary files; the installed package's, unless set.
@@ -26,6 +27,20 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_output(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), out="found")
+    ids = F.col("found.item_ids")
+    return found.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"), "found.spans",
+    )
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
