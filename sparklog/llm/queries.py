@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import decontaminate, quality_rules, simhash, token_binary
+from sparklog.llm import compression_classifier, decontaminate, quality_rules, simhash, token_binary
 from sparklog.llm.common import table
 
 #: Folder of the public vocabulary files; the installed package's, unless set.
@@ -45,6 +45,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), out="found").select("doc_id", "found.*")
 
 
+def op10_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compression_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", compression_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
