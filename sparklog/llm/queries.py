@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import compression_classifier, decontaminate, quality_rules, simhash, token_binary
+from sparklog.llm import compression_classifier, decontaminate, quality_rules, secret_scan, simhash, token_binary
 from sparklog.llm.common import table
 
 #: Folder of the public vocabulary files; the installed package's, unless set.
@@ -45,6 +45,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), out="found").select("doc_id", "found.*")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"), out="found")
+    count = {k: F.size(F.filter(F.col("found.kind"), F.lit(k).__eq__)).cast("long") for k in secret_scan.KINDS}
+    base = F.filter("found", lambda x: x["kind"] != "random")
+    return found.select("doc_id", *[count[k].alias(f"n_{k}") for k in secret_scan.KINDS], F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans"))
+
+
 def op10_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = compression_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", compression_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
