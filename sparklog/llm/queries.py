@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import compression_classifier, decontaminate, quality_rules, secret_scan, simhash, token_binary
+from sparklog.llm import compression_classifier, decontaminate, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_binary, token_counts
 from sparklog.llm.common import table
 
 #: Folder of the public vocabulary files; the installed package's, unless set.
@@ -36,6 +36,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.with_probabilities(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_weight", "mix_probability", mixing.sampled().alias("sampled"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,6 +57,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count[k].alias(f"n_{k}") for k in secret_scan.KINDS], F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
 def op10_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = compression_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", compression_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
