@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import compression_classifier, decontaminate, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_binary, token_counts
+from sparklog.llm import chat_format, compression_classifier, decontaminate, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_binary, token_counts
 from sparklog.llm.common import table
 
 #: Folder of the public vocabulary files; the installed package's, unless set.
@@ -46,6 +46,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles are learnt from two thirds of the conversations; held_out has the others."""
+    held = compression_classifier.held_out(F.col("conv_id"))
+    found = chat_format.recovered(table(spark, sf_dir, "conversations"), learn_from=~held)
+    return found.withColumn("held_out", held)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), out="found").select("doc_id", "found.*")
 
