@@ -16,9 +16,11 @@ kept, ordered by text. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ MAGIC = b"SLTB"
 BITS, LOW, LANES, BLOCK, CHECK = 20, 1 << 31, 32, 32768, 512
 HEAD = struct.Struct("<4sHHIIQQIIII")
 TABLE_SCHEMA = "part int, seq int, n_docs long, n_tokens long, first_doc long, image binary"
+#: Letters, then other characters than letters, digits, underscores, white space and apostrophes.
+LETTERS_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 DOC_SCHEMA = "part int, seq int, doc_id long, shard_start long, n_tokens long, ids_crc32 long"
 
 
@@ -171,7 +175,7 @@ class Encoder:
     model directly. A text in which white space meets white space is encoded whole.
     """
 
-    CACHE = 250_000
+    CACHE = 300_000  # pieces in each of two generations, about 250 bytes a piece
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -179,59 +183,81 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.known, self.older = Pieces(self.piece), {}
         self.by_piece = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
         # The alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes_as = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
-        self.marks = {c: self.whole([c])[0] for c in ".,"} if self.by_piece else {}
+        self.space = chr(self.bytes_as[32])
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def word(self, letters: str) -> bytes:
-        piece = f" {letters}".encode().decode("latin-1").translate(self.bytes_as)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(piece)])
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that the cache lacks; None marks those that cannot be encoded alone."""
-        if len(self.known) > self.CACHE:
-            self.known, self.older = {}, self.known
-        known, odd = self.known, []
-        for w in pieces - known.keys():
-            if w in self.older:
-                known[w] = self.older[w]
-            elif w.isalpha():
-                known[w] = self.word(w)
-            elif w[-1:] in self.marks and w[:-1].isalpha():
-                known[w] = self.word(w[:-1]) + self.marks[w[-1]]
-            elif not w or w[0].isspace() or w[-1].isspace():
-                known[w] = None
-            else:
-                odd.append(w)
-        known.update(zip(odd, self.whole([f" {w}" for w in odd]), strict=True))
+        """A space and letters."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.bytes_as)
+        as_bytes = self.as_bytes
+        return b"".join([as_bytes[t.id] for t in self.tokenizer.model.tokenize(self.space + letters)])
+
+    def mark(self, marks: str) -> bytes:
+        """Characters that are neither letters, digits nor white space, after letters."""
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {}
+            self.marks[marks] = self.whole([marks])[0]
+        return self.marks[marks]
+
+    def piece(self, w: str) -> bytes | None:
+        """A space and a piece without spaces; None if it cannot be encoded alone."""
+        if w in self.older:
+            return self.older[w]
+        if w.isalpha():
+            return self.word(w)
+        if m := LETTERS_MARKS.fullmatch(w):
+            return self.known[m[1]] + self.mark(m[2])
+        if not w or w[0].isspace() or w[-1].isspace():
+            return None
+        return self.whole([f" {w}"])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_piece:
             return self.whole(texts)
         out = []
-        for i in range(0, len(texts), 256):
-            split = [t.split(" ") for t in texts[i : i + 256]]
-            self.learn(set().union(*split))
-            heads = self.whole([p[0] for p in split])
-            get = self.known.__getitem__
-            for k, pieces in enumerate(split):
-                head, found = pieces[0], [*map(get, pieces[1:])]
-                if found and (not head or head[-1].isspace() or None in found):
-                    out += self.whole([texts[i + k]])
-                else:
-                    out.append(heads[k] + b"".join(found))
+        for text in texts:
+            if len(self.known) > self.CACHE:
+                self.known, self.older = Pieces(self.piece), self.known
+            head, *pieces = text.split(" ")
+            try:
+                if pieces and (not head or head[-1].isspace()):
+                    raise TypeError
+                out.append(self.whole([head])[0] + b"".join(map(self.known.__getitem__, pieces)))
+            except TypeError:  # a piece that cannot be encoded alone
+                out += self.whole([text])
         return out
 
 
+class Pieces(dict):
+    """A dict that learns what it lacks."""
+
+    def __init__(self, learn: Callable[[str], bytes | None]):
+        self.learn = learn
+
+    def __missing__(self, w: str) -> bytes | None:
+        found = self[w] = self.learn(w)
+        return found
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The process's encoder: Spark's Python workers keep it, with its cache, from task to task."""
+    return Encoder(path)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = 2_000_000) -> None:
     """Tokenise docs and write them in ascending id order to a table of file images at path.
 
@@ -239,7 +265,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoded, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
         part, seq, doc_ids, found, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -252,7 +278,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(common.str_texts(some.column(1))), strict=True):
+                for doc, ids in zip(some.column(0).to_pylist(), encoded(common.str_texts(some.column(1))), strict=True):
                     doc_ids.append(doc)
                     found.append(ids + end)
                     held += len(ids) // 4 + 1
