@@ -16,7 +16,7 @@ A line break at the end of a segment is dropped. Rendering: a role's first segme
 end closes it. The result is a row a segment, so no conversation is ever one value.
 
 Null texts count as empty; an empty text is one empty segment. A null conversation id is a conversation of its own, null
-turns come first. Repeated turns are ordered by their text. Rows with other or null roles are not learnt from. Without
+turns come first. Repeated turns are ordered by a hash of their text. Rows with other or null roles are not learnt from. Without
 any known role all weights are equal and ties go to the first of ROLES. An empty table gives an empty result.
 """
 
@@ -43,25 +43,25 @@ CHUNK = "part int, run int, chunk int, starts boolean, ends boolean, conv_id lon
 
 
 def segments(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = None) -> DataFrame:
-    """conv_id, turn, segment, obs (the features in one number), text (without marker), role (null if role_col is)."""
+    """conv_id, turn, row (hash of the row's text), segment, obs (the features in one number), text (without marker), role (null if role_col is)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     role = F.col(role_col).cast("string") if role_col else F.lit(None).cast("string")
     pieces = F.split(text, rf"(?im)(?={MARKER})", -1)
-    cut = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), F.posexplode(pieces).alias("segment", "piece"))
+    cut = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.xxhash64(text).alias("row"), role.alias("role"), F.posexplode(pieces).alias("segment", "piece"))
     cut = cut.filter((F.col("segment") == 0) | (F.col("piece") != ""))
     name = F.lower(F.regexp_extract("piece", f"(?i){MARKER}", 1))
     marker = F.lit(0)
     for k, role_name in enumerate(ROLES, 1):
         marker = F.when(name.isin(*MARKERS[role_name]), k).otherwise(marker)
     body = F.regexp_replace(F.regexp_replace("piece", f"(?i){MARKER}", ""), r"\n\z", "")
-    own = cut.select("conv_id", "turn", "role", "segment", marker.alias("marker"), body.alias("text"))
+    own = cut.select("conv_id", "turn", "row", "role", "segment", marker.alias("marker"), body.alias("text"))
     length = F.least(F.floor(F.log2(F.char_length("text") + 1)), F.lit(15)).cast("int")
     lines = F.least(F.regexp_count("text", F.lit("\n")), F.lit(4))
     last = F.when(F.rtrim("text").endswith("?"), 1).when(F.rtrim("text").endswith("."), 2).when(F.rtrim("text") == "", 3).otherwise(0)
     obs, values = F.lit(0), {"marker": F.col("marker"), "length": length, "lines": lines, "last": last, "opens": (F.col("segment") == 0).cast("int")}
     for feature, size in FEATURES.items():
         obs = obs * size + values[feature]
-    return own.select("conv_id", "turn", "segment", obs.cast("int").alias("obs"), "text", "role")
+    return own.select("conv_id", "turn", "row", "segment", obs.cast("int").alias("obs"), "text", "role")
 
 
 def parts_of(obs: int) -> list[int]:
@@ -109,9 +109,8 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first()]
-    tie = [F.xxhash64("text")] if "text" in rows.columns else [F.col("obs")]
-    return rows.repartitionByRange(*keys, F.col("segment"), *tie).sortWithinPartitions(*keys, F.col("segment"), *tie)
+    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("row"), F.col("segment")]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def learn(known: DataFrame) -> Model:
@@ -139,7 +138,7 @@ def learn(known: DataFrame) -> Model:
             row = {"part": TaskContext.get().partitionId(), "counts": counts.tolist(), "conv_a": edge[0], "role_a": edge[1], "conv_z": before[0], "role_z": before[1]}
             yield pa.RecordBatch.from_pylist([row])
 
-    ordered = _ordered(known.select("conv_id", "turn", "segment", "obs", "role")).select("conv_id", "role")
+    ordered = _ordered(known.select("conv_id", "turn", "row", "segment", "role")).select("conv_id", "role")
     seen = ordered.mapInArrow(count, "part long, counts array<double>, conv_a long, role_a long, conv_z long, role_z long").orderBy("part").collect()  # a row a task
     table = np.zeros((size + 1, size))
     for k, row in enumerate(seen):
@@ -176,7 +175,7 @@ def _chunks(found: DataFrame, model: Model, chunk: int) -> DataFrame:
         if held:
             yield row(False)
 
-    return _ordered(found.select("conv_id", "turn", "segment", "obs", "text")).mapInArrow(cut, CHUNK)
+    return _ordered(found.drop("role")).select("conv_id", "turn", "segment", "obs", "text").mapInArrow(cut, CHUNK)
 
 
 def recovered(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role", learn_from: Column | None = None, chunk: int = 512) -> DataFrame:

@@ -120,10 +120,10 @@ def _rake_table(cells: DataFrame, targets: list[Target], rounds: int, tolerance:
         for key, share in zip(KEYS, wanted, strict=True):
             now = mass.groupBy(key).agg(F.sum("mass").alias("now"))
             factor = now.alias("a").join(share.alias("b"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")))
-            factor = factor.select(f"a.{key}", F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(1.0).alias("factor"), "now")
+            factor = factor.select(F.col(f"a.{key}").alias("category"), F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(1.0).alias("factor"), "now")
             factor, used = common.written(factor, "factor")
             off = max(off, factor.filter("now > 0").agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0.0)
-            scaled = mass.alias("a").join(factor.alias("b"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")))
+            scaled = mass.join(factor, F.col(key).eqNullSafe(F.col("category")))
             scaled, new = common.written(scaled.select(*KEYS, "tokens", (F.col("mass") * F.col("factor")).alias("mass")), "cells")
             for old in (path, used):
                 common.drop_path(spark, old)
