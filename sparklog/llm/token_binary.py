@@ -84,7 +84,7 @@ def encode_image(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray
         f = freq[at]
         full = state >= (f << np.uint64(63 - BITS))
         sent.append(state[full].astype(np.uint32))
-        owner.append(np.nonzero(full)[0])
+        owner.append(np.nonzero(full)[0].astype(np.uint16 if blocks < 65536 else np.int64))  # 16 bits sort by radix
         read[t] = full.sum(axis=1)
         state = np.where(full, state >> np.uint64(32), state)
         q = state // f
@@ -175,7 +175,7 @@ class Encoder:
     model directly. A text in which white space meets white space is encoded whole.
     """
 
-    CACHE = 300_000  # pieces in each of two generations, about 250 bytes a piece
+    CACHE = 450_000  # pieces in each of two generations, about 250 bytes a piece
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -196,15 +196,22 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def word(self, letters: str) -> bytes:
-        """A space and letters."""
+    def word(self, letters: str, lead: str) -> bytes:
+        """Letters after a space or, with an empty lead, without one."""
         if not letters.isascii():
             letters = letters.encode().decode("latin-1").translate(self.bytes_as)
         as_bytes = self.as_bytes
-        return b"".join([as_bytes[t.id] for t in self.tokenizer.model.tokenize(self.space + letters)])
+        return b"".join([as_bytes[t.id] for t in self.tokenizer.model.tokenize(lead + letters)])
+
+    def line(self, start: str) -> bytes | None:
+        """What follows a line break, up to the next one; None if it is not letters and marks."""
+        m = LETTERS_MARKS.fullmatch(start)
+        if start.isalpha() or m:
+            return self.word(m[1] if m else start, "") + (self.mark(m[2]) if m else b"")
+        return None
 
     def mark(self, marks: str) -> bytes:
-        """Characters that are neither letters, digits nor white space, after letters."""
+        """A pre-token of other characters than letters, digits and spaces."""
         if marks not in self.marks:
             if len(self.marks) > 10_000:
                 self.marks = {}
@@ -216,11 +223,16 @@ class Encoder:
         if w in self.older:
             return self.older[w]
         if w.isalpha():
-            return self.word(w)
+            return self.word(w, self.space)
         if m := LETTERS_MARKS.fullmatch(w):
             return self.known[m[1]] + self.mark(m[2])
         if not w or w[0].isspace() or w[-1].isspace():
             return None
+        if "\n" in w:  # a line break between two other characters is a pre-token
+            first, *others = w.split("\n")
+            lines = [*map(self.line, others)]
+            if LETTERS_MARKS.fullmatch(first) and None not in lines:
+                return self.known[first] + b"".join([self.mark("\n") + x for x in lines])
         return self.whole([f" {w}"])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
