@@ -94,10 +94,19 @@ def _unknown_message(text: Column) -> Column:
     return F.when(cut & ~shown.contains("[truncated]"), F.concat(F.rtrim(shown), F.lit("...[truncated]"))).otherwise(shown)
 
 
-def _variant(document: Column, column: str, kind: str = "string") -> Column:
-    """First value of the column's keys: each as one key, then dotted ones as paths."""
-    paths = [f"$['{k}']" for k in KEYS[column]] + ["$." + k for k in KEYS[column] if "." in k]
-    return F.coalesce(*[F.try_variant_get(document, p, kind) for p in paths])
+def _paths(column: str) -> list[str]:
+    """The column's keys as paths: each as one key, then dotted ones as nested keys."""
+    return [f"$['{k}']" for k in KEYS[column]] + ["$." + k for k in KEYS[column] if "." in k]
+
+
+def _variant(document: Column, column: str) -> Column:
+    """First value of the column's keys, as text."""
+    return F.coalesce(*[F.try_variant_get(document, p, "string") for p in _paths(column)])
+
+
+def _variant_type(document: Column, column: str) -> Column:
+    """JSON type of the first value of the column's keys."""
+    return F.coalesce(*[F.when(F.try_variant_get(document, p, "string").isNotNull(), F.schema_of_variant(F.try_variant_get(document, p, "variant"))) for p in _paths(column)])
 
 
 def parse_json(lines: DataFrame, source: Source = Source()) -> DataFrame:  # noqa: B008
@@ -106,12 +115,13 @@ def parse_json(lines: DataFrame, source: Source = Source()) -> DataFrame:  # noq
     d, text = F.col("document"), F.col("text")
     is_object = F.coalesce(F.schema_of_variant(d).startswith("OBJECT"), F.lit(False))
     stamp = _variant(d, "timestamp")
-    number = F.when(stamp.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$") & ~_variant(d, "timestamp", "variant").cast("string").startswith('"'), epoch_timestamp(stamp.try_cast("double")))
+    is_text = _variant_type(d, "timestamp") == "STRING"
+    number = F.when(~is_text, epoch_timestamp(stamp.try_cast("double")))
     whole = F.when(is_object, F.coalesce(_variant(d, "message"), text)).otherwise(text)
     entries = F.from_json("text", "map<string,string>")
     tail = F.to_json(F.map_filter(entries, lambda k, v: ~k.isin(*KNOWN)))
     columns = {
-        "timestamp": F.when(is_object, F.coalesce(number, iso_timestamp(stamp))), "severity": F.when(is_object, severity_of(_variant(d, "severity"))).otherwise("UNKNOWN"),
+        "timestamp": F.when(is_object, F.coalesce(number, F.when(is_text, iso_timestamp(stamp)))), "severity": F.when(is_object, severity_of(_variant(d, "severity"))).otherwise("UNKNOWN"),
         "message": F.when(is_object, _shown(whole, "...")).otherwise(_unknown_message(text)), "raw_text": text, "duration_ms": F.when(is_object, _variant(d, "duration_ms").try_cast("double")),
         "status_code": F.when(is_object, _variant(d, "status_code").try_cast("double").try_cast("int")), "attributes_json": F.when(is_object, tail),
     }
