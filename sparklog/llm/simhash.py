@@ -93,7 +93,7 @@ def _near(a: Column, b: Column, distance: int) -> Column:
 
 def _forest(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among members (distinct fingerprints)."""
-    left, edges = members, []
+    left, edges = members.view(np.uint64), []  # numpy counts the bits of a signed number's absolute value
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
@@ -101,7 +101,7 @@ def _forest(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
             near = np.bitwise_count(left ^ x) <= distance
             if near.any():
                 found = left[near]
-                edges += [(int(x), int(y)) for y in found]
+                edges += [(int(x.view(np.int64)), y) for y in found.view(np.int64).tolist()]
                 front += list(found)
                 left = left[~near]
     return edges
