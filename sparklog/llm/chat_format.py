@@ -4,7 +4,7 @@ A transcript is the rows of a conversation in order of turn. Each text is cut be
 marker (MARKERS); such a segment's features are its marker, length, number of lines, last character and whether it
 opens a row. Roles are hidden states; features are emitted independently given the role. The model is counted from
 rows with known roles (add-one smoothing): a table of roles by features, and of roles by roles that follow. A marker
-counts beforehand as a sixth of its role's segments, since many transcripts with known roles have no markers.
+counts beforehand as a sixth of its role's segments and other roles' markers as a hundredth of one, since many transcripts with known roles have no markers.
 
 Viterbi is exact for conversations of any size. Segments are dealt out by ranges of (conversation, turn, segment), so
 that a long conversation lies in consecutive tasks; each task cuts its rows into chunks of `chunk` segments and sums
@@ -45,16 +45,20 @@ CHUNK = "part int, run int, chunk int, starts boolean, ends boolean, conv_id lon
 def segments(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = None) -> DataFrame:
     """conv_id, turn, row (hash of the row's text), segment, obs (the features in one number), text (without marker), role (null if role_col is)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    role = F.col(role_col).cast("string") if role_col else F.lit(None).cast("string")
+    given = F.col(role_col).cast("string") if role_col else F.lit(None).cast("string")
     pieces = F.split(text, rf"(?im)(?={MARKER})", -1)
-    cut = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.xxhash64(text).alias("row"), role.alias("role"), F.posexplode(pieces).alias("segment", "piece"))
+    cut = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.xxhash64(text).alias("row"), given.alias("role"), F.posexplode(pieces).alias("segment", "piece"))
     cut = cut.filter((F.col("segment") == 0) | (F.col("piece") != ""))
     name = F.lower(F.regexp_extract("piece", f"(?i){MARKER}", 1))
     marker = F.lit(0)
     for k, role_name in enumerate(ROLES, 1):
         marker = F.when(name.isin(*MARKERS[role_name]), k).otherwise(marker)
+    own_marker = F.lit(False)
+    for k, role_name in enumerate(ROLES, 1):
+        own_marker = own_marker | ((F.col("role") == role_name) & (marker == k))
+    role = F.when((marker == 0) | own_marker, F.col("role"))  # a row's role is not that of another speaker's segment
     body = F.regexp_replace(F.regexp_replace("piece", f"(?i){MARKER}", ""), r"\n\z", "")
-    own = cut.select("conv_id", "turn", "row", "role", "segment", marker.alias("marker"), body.alias("text"))
+    own = cut.select("conv_id", "turn", "row", role.alias("role"), "segment", marker.alias("marker"), body.alias("text"))
     length = F.least(F.floor(F.log2(F.char_length("text") + 1)), F.lit(15)).cast("int")
     lines = F.least(F.regexp_count("text", F.lit("\n")), F.lit(4))
     last = F.when(F.rtrim("text").endswith("?"), 1).when(F.rtrim("text").endswith("."), 2).when(F.rtrim("text") == "", 3).otherwise(0)
@@ -124,6 +128,7 @@ def learn(known: DataFrame) -> Model:
     size = len(ROLES)
     for r in range(size):  # a marker names its role, also where the known rows have no markers
         emitted["marker"][r, r + 1] += 10 + 0.2 * emitted["marker"][r].sum()
+        emitted["marker"][r, [k for k in range(1, size + 1) if k != r + 1]] -= 0.99  # beside the 1 of smoothing
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, edge, before = np.zeros((size + 1) * size), None, None
