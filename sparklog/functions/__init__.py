@@ -21,7 +21,7 @@ SIGNATURE_STEPS = (
     (r"(?<![\p{L}\p{N}_])\p{Nd}{2,}", "<num>"),
     (r'File "[^"]+", line \d+', "File <path>"),
     (r'"[^"\n]{6,}"', '"<str>"'),
-    (r"[\p{L}\p{N}_\-]{16,}", "<id>"),
+    (r"(?<![\p{L}\p{N}_\-])[\p{L}\p{N}_\-]{16,}", "<id>"),  # a run is maximal; the look-behind saves tries inside it
     (r"\s+", " "),
 )
 SIGNATURE_LENGTH = 240

@@ -94,40 +94,39 @@ def _unknown_message(text: Column) -> Column:
     return F.when(cut & ~shown.contains("[truncated]"), F.concat(F.rtrim(shown), F.lit("...[truncated]"))).otherwise(shown)
 
 
-def _paths(column: str) -> list[str]:
-    """The column's keys as paths: each as one key, then dotted ones as nested keys."""
-    return [f"$['{k}']" for k in KEYS[column]] + ["$." + k for k in KEYS[column] if "." in k]
+def _nested(column: str) -> list[str]:
+    return [k for k in KEYS[column] if "." in k]
 
 
-def _variant(document: Column, column: str) -> Column:
-    """First value of the column's keys, as text."""
-    return F.coalesce(*[F.try_variant_get(document, p, "string") for p in _paths(column)])
+def _value(column: str) -> Column:
+    """First value of the column's keys, as text: top-level ones, then dotted ones as nested keys."""
+    flat = [F.try_element_at("entries", F.lit(k)) for k in KEYS[column]]
+    return F.coalesce(*flat, *[F.try_variant_get("document", f"$.{k}", "string") for k in _nested(column)])
 
 
-def _variant_type(document: Column, column: str) -> Column:
-    """JSON type of the first value of the column's keys."""
-    return F.coalesce(*[F.when(F.try_variant_get(document, p, "string").isNotNull(), F.schema_of_variant(F.try_variant_get(document, p, "variant"))) for p in _paths(column)])
+def _is_text(column: str) -> Column:
+    """Whether the first value of the column's keys is a JSON string."""
+    found = F.lit(False)
+    for k in reversed(KEYS[column]):
+        kind = F.schema_of_variant(F.try_variant_get("document", f"$['{k}']", "variant"))
+        found = F.when(F.try_element_at("entries", F.lit(k)).isNotNull(), kind == "STRING").otherwise(found)
+    return found
 
 
 def parse_json(lines: DataFrame, source: Source = Source()) -> DataFrame:  # noqa: B008
     """JSON lines: an object a line; blank lines are skipped, others that are no object are unstructured."""
-    rows = lines.filter(F.trim("text") != "").withColumn("document", F.try_parse_json("text"))
-    d, text = F.col("document"), F.col("text")
-    is_object = F.coalesce(F.schema_of_variant(d).startswith("OBJECT"), F.lit(False))
-    stamp = _variant(d, "timestamp")
-    is_text = _variant_type(d, "timestamp") == "STRING"
-    number = F.when(~is_text, epoch_timestamp(stamp.try_cast("double")))
-    whole = F.when(is_object, F.coalesce(_variant(d, "message"), text)).otherwise(text)
-    entries = F.from_json("text", "map<string,string>")
-    tail = F.to_json(F.map_filter(entries, lambda k, v: ~k.isin(*KNOWN)))
-    columns = {
-        "timestamp": F.when(is_object, F.coalesce(number, F.when(is_text, iso_timestamp(stamp)))), "severity": F.when(is_object, severity_of(_variant(d, "severity"))).otherwise("UNKNOWN"),
-        "message": F.when(is_object, _shown(whole, "...")).otherwise(_unknown_message(text)), "raw_text": text, "duration_ms": F.when(is_object, _variant(d, "duration_ms").try_cast("double")),
-        "status_code": F.when(is_object, _variant(d, "status_code").try_cast("double").try_cast("int")), "attributes_json": F.when(is_object, tail),
+    text = F.col("text")
+    rows = lines.filter(F.trim("text") != "").withColumns({"document": F.try_parse_json("text"), "entries": F.from_json("text", "map<string,string>")})
+    rows = rows.withColumn("is_object", F.col("document").isNotNull() & F.ltrim("text").startswith("{") & F.col("entries").isNotNull())
+    rows = rows.withColumns({f"v_{c}": F.when(F.col("is_object"), _value(c)) for c in KEYS})
+    v, is_object = {c: F.col(f"v_{c}") for c in KEYS}, F.col("is_object")
+    number = F.when(v["timestamp"].rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), F.when(~_is_text("timestamp"), epoch_timestamp(v["timestamp"].try_cast("double"))))
+    tail = F.to_json(F.map_filter("entries", lambda k, _: ~k.isin(*KNOWN)))
+    columns = v | {
+        "timestamp": F.coalesce(number, iso_timestamp(v["timestamp"])), "severity": F.when(is_object, severity_of(v["severity"])).otherwise("UNKNOWN"),
+        "message": F.when(is_object, _shown(F.coalesce(v["message"], text), "...")).otherwise(_unknown_message(text)), "raw_text": text, "duration_ms": v["duration_ms"].try_cast("double"),
+        "status_code": v["status_code"].try_cast("double").try_cast("int"), "attributes_json": F.when(is_object, tail),
     }
-    for column in KEYS:
-        if column not in columns:
-            columns[column] = F.when(is_object, _variant(d, column))
     return _events(rows, source, "json", text, columns, ~is_object)
 
 
@@ -179,25 +178,28 @@ def csv_cells(text: Column) -> Column:
 
 def parse_text(events: DataFrame, source: Source = Source()) -> DataFrame:  # noqa: B008
     """Text lines, folded or not: the first form that matches; others are unstructured."""
-    text = F.col("text")
-    matched = [text.rlike(f"(?s){form.pattern}") for form in TEXT_FORMS]
+    text, form = F.col("text"), F.lit(-1)
+    for k in reversed(range(len(TEXT_FORMS))):
+        form = F.when(text.rlike(f"(?s){TEXT_FORMS[k].pattern}"), k).otherwise(form)
+    rows = events.withColumn("form", form)
 
     def part(name: str) -> Column:
         out = F.lit(None).cast("string")
-        for form, hit in reversed(list(zip(TEXT_FORMS, matched, strict=True))):
-            value = F.regexp_extract(text, f"(?s){form.pattern}", form.groups[name]) if name in form.groups else F.lit(None).cast("string")
-            out = F.when(hit, F.when(value != "", value)).otherwise(out)
+        for k, f in enumerate(TEXT_FORMS):
+            if name in f.groups:
+                out = F.when(F.col("form") == k, F.regexp_extract(text, f"(?s){f.pattern}", f.groups[name])).otherwise(out)
         return out
 
-    hit = matched[0]
-    for m in matched[1:]:
-        hit = hit | m
-    trimmed = F.regexp_replace(F.coalesce(part("message"), text), r"^\s+|\s+$", "")
+    names = ("timestamp", "level", "service", "host", "logger", "status", "message")
+    rows = rows.withColumns({f"p_{n}": part(n) for n in names})
+    p = {n: F.when(F.col(f"p_{n}") != "", F.col(f"p_{n}")) for n in names}
+    hit = F.col("form") >= 0
+    trimmed = F.regexp_replace(F.coalesce(p["message"], text), r"^\s+|\s+$", "")
     columns = {
-        "timestamp": text_timestamp(part("timestamp")), "severity": F.when(hit, severity_of(part("level"))).otherwise("UNKNOWN"), "message": F.when(hit, F.substring(trimmed, 1, MAX_MESSAGE)).otherwise(_unknown_message(text)),
-        "raw_text": text, "service": F.trim(part("service")), "host": part("host"), "logger": part("logger"), "status_code": part("status").try_cast("int"),
+        "timestamp": text_timestamp(p["timestamp"]), "severity": F.when(hit, severity_of(p["level"])).otherwise("UNKNOWN"), "message": F.when(hit, F.substring(trimmed, 1, MAX_MESSAGE)).otherwise(_unknown_message(text)),
+        "raw_text": text, "service": F.trim(p["service"]), "host": p["host"], "logger": p["logger"], "status_code": p["status"].try_cast("int"),
     }
-    return _events(events, source, "text", text, columns, ~hit)
+    return _events(rows, source, "text", text, columns, ~hit)
 
 
 def java_pattern(pattern: str) -> tuple[str, dict[str, int]]:
