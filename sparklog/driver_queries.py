@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -11,9 +13,12 @@ from pyspark.sql import functions as F
 from sparklog import functions as fn
 from sparklog.operators import analytics, rules
 from sparklog.operators.query import frame
+from sparklog.operators.store import EventStore
 from sparklog.schema import ROW_COLUMNS
 from sparklog.sources import formats
+from sparklog.sources.ingest import ingest
 from sparklog.sources.lines import fold, primary
+from sparklog.streaming.tail import start_tail
 
 NOW = datetime(2024, 1, 20)
 Q = Callable[[SparkSession, str], DataFrame]
@@ -213,6 +218,36 @@ def dedup_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.join(own.filter("line_number % 3 <> 0").select("event_id"), "event_id", "left_anti").select("event_id", "line_number")
 
 
+def _log_file(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with the events as one file of JSON lines, below the shared folder or a temporary one."""
+    work = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).removeprefix('file://')}/sparklog-{uuid.uuid4().hex}"
+    json_lines(spark, sf_dir).orderBy("line_number").select("text").coalesce(1).write.text(f"{work}/logs")
+    return work
+
+
+def _stored(store: EventStore) -> DataFrame:
+    return store.events().select("severity", "message", "trace_id", "duration_ms", "status_code", F.unix_micros("timestamp").alias("micros"), "line_number")
+
+
+def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written as JSON lines, ingested twice into a store."""
+    work = _log_file(spark, sf_dir)
+    store = EventStore(spark, f"{work}/store")
+    for _ in range(2):
+        ingest(spark, store, f"{work}/logs", parser="jsonl")
+    return _stored(store)
+
+
+def tail_microbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same file read by the tail stream, which takes what is there and stops, twice from one checkpoint."""
+    work = _log_file(spark, sf_dir)
+    store = EventStore(spark, f"{work}/store")
+    for _ in range(2):
+        start_tail(spark, store, f"{work}/logs/part-*", f"{work}/checkpoint", parser="jsonl", interval=None).awaitTermination()
+    return _stored(store)
+
+
+_STORED = EV + "SELECT severity, message, trace_id, duration_ms, status_code, epoch_us(timestamp) AS micros, row_number() OVER (ORDER BY line_number) AS line_number FROM ev"
 _RATE = (
     EV + ", c AS (SELECT count(*) FILTER (timestamp >= TIMESTAMP '2024-01-19' AND timestamp < TIMESTAMP '2024-01-20') AS total_now, count(*) FILTER (timestamp >= TIMESTAMP '2024-01-19' AND timestamp < TIMESTAMP '2024-01-20' AND severity IN ('ERROR', 'FATAL', 'CRITICAL')) AS errors_now,"
     " count(*) FILTER (timestamp >= TIMESTAMP '2024-01-14' AND timestamp < TIMESTAMP '2024-01-19') AS total_base, count(*) FILTER (timestamp >= TIMESTAMP '2024-01-14' AND timestamp < TIMESTAMP '2024-01-19' AND severity IN ('ERROR', 'FATAL', 'CRITICAL')) AS errors_base FROM ev WHERE timestamp >= TIMESTAMP '2024-01-14' AND timestamp < TIMESTAMP '2024-01-20')"
@@ -260,6 +295,8 @@ OTHERS: dict[str, tuple[Q, str | None]] = {
       m AS (SELECT source_path, CAST(k AS BIGINT) AS k, regexp_matches(t, '^[A-M]') AS head, CASE WHEN regexp_matches(t, '^[A-M]') THEN '2024-01-01 00:00:00 INFO ' || t ELSE '  ' || t END AS t FROM l),
       g AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY source_path ORDER BY k) AS e FROM m), j AS (SELECT source_path, min(k) AS byte_offset, min(k) + 1 AS line_number, string_agg(t, chr(10) ORDER BY k) AS t FROM g GROUP BY source_path, e)
       SELECT source_path, byte_offset, line_number, length(t) AS length, md5(t) AS md5 FROM j"""),
+    "ingest_files": (ingest_files, _STORED),
+    "tail_microbatch": (tail_microbatch, _STORED),
     "dedup_append": (dedup_append, f"{EV} SELECT event_id, line_number FROM ev WHERE line_number % 3 = 0"),
 }
 

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparklog.plans.binder import BASE_LIMIT, MAX_LIMIT, BindError, Bound, bind
 from sparklog.plans.language import Query, QuerySyntaxError, parse
+from sparklog.schema import DISPLAY
 
 
 class QueryError(Exception):
@@ -39,6 +41,11 @@ def frame(events: DataFrame, query: str | Query, **limits: int) -> DataFrame:
     return bound(events, query, **limits).frame
 
 
+def display(rows: DataFrame) -> DataFrame:
+    """The columns of a row result that are shown, under their labels."""
+    return rows.select(*[F.col(c).alias(label) for c, label in DISPLAY.items() if c in rows.columns])
+
+
 def execute(events: DataFrame, query: str | Query, **limits: int) -> QueryResult:
     plan = bound(events, query, **limits)
     began = time.perf_counter()

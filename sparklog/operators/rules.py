@@ -21,6 +21,7 @@ from sparklog.functions import is_error, signature
 
 ALERT_COLUMNS = ("id", "rule_id", "rule_name", "severity", "fired_at", "title", "explanation", "threshold", "observed", "time_window", "scope")
 MOST_SIGNATURES = 50
+# The format of alert ids.
 ALERT_ID_PREFIX, ALERT_ID_DIGITS = "tfal-", 16
 
 
@@ -116,7 +117,7 @@ def error_rate_spike(ctx: Context) -> DataFrame:
     """The error rate of the last minutes is a multiple of the baseline before them."""
     w, multiple, least, service = int(ctx.get("window_min")), float(ctx.get("threshold_multiple")), int(ctx.get("min_errors")), ctx.get("service")
     now, base = F.format_number(100 * F.col("rate_now"), 2), F.format_number(100 * F.col("rate_base"), 2)
-    explanation = F.format_string(f"Error rate in the last {w} minute(s) is %s%% (baseline %s%%). Triggered because current rate is at least {multiple:.1f}x the baseline and there are at least {least} errors in the window.", now, base)
+    explanation = F.format_string(f"%s%% of the events of the last {w} min are errors, against %s%% before: {multiple:.1f} times as many or more, and no fewer than {least} errors.", now, base)
     observed = F.format_string("%s%% (%d errors / %d events)", now, "errors_now", "total_now")
     title = F.lit("Error rate spike" + (f" in service {service}" if service else ""))
     return _alerts(ctx, error_rate_counts(ctx), [ctx.ago(w).isoformat(), service], title, explanation, f"{multiple:.1f}x baseline, >= {least} errors", observed, f"{w} min", {"service": F.lit(service)} if service else {})
@@ -136,7 +137,7 @@ def new_signatures(ctx: Context) -> DataFrame:
 def new_error_signature(ctx: Context) -> DataFrame:
     """Error signatures that appear for the first time."""
     s, seen = F.col("signature"), F.date_format("first_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    explanation = F.concat(F.lit("A new normalized error signature has been observed for the first time. Signature: "), s)
+    explanation = F.concat(F.lit("No earlier error has this signature: "), s)
     return _alerts(ctx, new_signatures(ctx), [s, seen], F.concat(F.lit("New error signature: "), F.substring(s, 1, 80)), explanation, "First occurrence", F.concat(F.lit("First seen at "), seen), f"{ctx.get('window_min')} min", {"signature": s})
 
 
