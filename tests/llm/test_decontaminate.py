@@ -1,10 +1,11 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 
 from sparklog.llm import decontaminate as dc
-from sparklog.llm.queries import op2_decontaminate
+from sparklog.llm.queries import op2_decontaminate, oracle_sql
 
 from .helpers import SF, lower, no_documents, odd_documents, some_words, table
 
@@ -38,6 +39,15 @@ def test_query_against_brute_force(spark):
         assert tuple(r)[1:6] == (n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0)
 
 
+def test_sql_against_brute_force():
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = brute(c.sql("select doc_id, text from documents").fetchall(), c.sql("select item_id, text from benchmark").fetchall())
+    for doc, n, hit, items, _, contaminated in c.sql(oracle_sql()["op2_decontaminate"]).fetchall():
+        assert (n, hit, items, contaminated) == (want[doc][0], want[doc][1], len(want[doc][2]), want[doc][1] > 0)
+
+
 @pytest.mark.parametrize("most", [200_000, 40])
 def test_short_items_overlaps_and_many_passes(spark, most):
     items = [(1, some_words(1, 30)), (2, "short One"), (3, None), (4, "..."), (5, some_words(1, 30)), (6, some_words(2, 12))]

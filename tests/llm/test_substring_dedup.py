@@ -70,7 +70,7 @@ def test_cuts_cover_the_text_and_split_no_character():
         assert (ends[-1] if ends else 0) == len(data)
         pieces = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         assert "".join(p.decode() for p in pieces) == text
-        assert all(len(p) <= 128 for p in pieces)
+        assert all(len(p) <= 96 for p in pieces)
 
 
 def test_odd_rows(spark):
