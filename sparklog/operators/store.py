@@ -68,7 +68,7 @@ class EventStore:
 
     def source_id(self, path: str) -> int:
         """The id of a source path: a hash, so that ids need no counter and never clash between writers."""
-        return int(self.spark.range(1).select(F.abs(F.xxhash64(F.lit(path)))).first()[0])
+        return source_ids(self.spark, [path])[path]
 
     def delete_source(self, path: str) -> None:
         """Drop a source's partitions and mark its runs deleted."""
@@ -78,6 +78,12 @@ class EventStore:
         self.record_run(source_id=source, path=path, deleted=True)
 
 
+def source_ids(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """Ids of source paths, as abs(xxhash64(source_path)) gives them in a query."""
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", F.abs(F.xxhash64("path")))
+    return {r[0]: int(r[1]) for r in rows.collect()}
+
+
 def _counted(rows: DataFrame):
     from pyspark.sql import Observation
 
