@@ -1,10 +1,11 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
-A chunk ends where the gear hash of the last 32 bytes has its top `bits` bits 0, at `least` bytes or more, or at `most`
-bytes; ends never split a character. Insertions shift chunks only near them. Equal chunks have equal 128-bit digests.
-A digest's *keeper* is the least doc_id that has it; the chunks of other documents with it are redundant. Redundant
-chunks next to each other make a span, and spans of `min_words` words or more are reported: chunks at both ends of a
-shared passage mix it with what is around, so a passage of 50 words shows about 30 words or more.
+A chunk ends where the gear hash of the last WINDOW bytes has its top `bits` bits 0, at `least` bytes or more, or at
+`most` bytes (255 or fewer); ends never split a character. Insertions shift chunks only near them. Equal chunks have
+equal 64-bit digests. A digest's *keeper* is the least doc_id that has it; the chunks of other documents with it are
+redundant. Redundant chunks next to each other make a span, and spans of `min_words` words or more are reported: chunks
+at both ends of a shared passage mix it with what is around, so of a passage of 51 words all but a few per mille show 24
+or more. A span needs several chunks in a row, so two texts of one digest, by chance, do not make one.
 
 Digests are summed to least and greatest doc_id before they are shuffled, so frequent passages are no hot keys there;
 occurrences then join the repeated digests as plain tables, which adaptive execution splits where one is frequent.
@@ -28,21 +29,26 @@ from sparklog.llm import common
 
 #: The gear: a random 32-bit number for each byte, from a fixed seed.
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
-CHUNK = "doc_id long, d1 long, d2 long, k int, start int, end int, words int"
+WINDOW = 16
+#: place: first code point << 16 | code points << 8 | words begun.
+CHUNK = "doc_id long, digest long, place long"
 
 
-def cuts(text: bytes, least: int = 24, most: int = 128, bits: int = 5) -> list[int]:
+def cuts(text: bytes, least: int = 16, most: int = 96, bits: int = 4) -> list[int]:
     """Ends of the chunks of a UTF-8 text."""
     n = len(text)
     data = np.frombuffer(text, np.uint8)
     h = GEAR[data]
-    for k in (1, 2, 4, 8, 16):
+    k = 1
+    while k < WINDOW:  # after the round of k, h has the last 2k bytes
         more = h[:-k] << np.uint32(k)
         h = h.copy()
         h[k:] += more
+        k *= 2
+    h &= np.uint32((1 << WINDOW) - 1)  # higher bits would see bytes unevenly
     ok = np.ones(n + 1, bool)  # an end here splits no character
     ok[1:n] = (data[1:] & 0xC0) != 0x80
-    ends = np.nonzero((h >> np.uint32(32 - bits) == 0) & ok[1:])[0] + 1
+    ends = np.nonzero((h >> np.uint32(WINDOW - bits) == 0) & ok[1:])[0] + 1
     out, at = [], 0
     for end in [*ends.tolist(), n]:
         while end - at > most:
@@ -59,47 +65,46 @@ def cuts(text: bytes, least: int = 24, most: int = 128, bits: int = 5) -> list[i
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, least: int, most: int, bits: int) -> DataFrame:
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        from xxhash import xxh3_64_intdigest as digest
 
         space = np.zeros(256, bool)
         space[[9, 10, 11, 12, 13, 32]] = True
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
-                ids, digests, ks, starts, ends, words = [], [], [], [], [], []
+                ids, digests, places = [], [], []
                 for doc, text in zip(some.column(0).to_pylist(), common.byte_texts(some.column(1)), strict=True):
                     if not text:
                         continue
-                    bounds = np.array([0, *cuts(text, least, most, bits)])
+                    edges = [0, *cuts(text, least, most, bits)]
                     data = np.frombuffer(text, np.uint8)
-                    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[bounds]
+                    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[edges]
                     blank = space[data]
-                    begun = np.concatenate(([0], np.cumsum(~blank & np.concatenate(([True], blank[:-1])))))[bounds]
-                    edges = bounds.tolist()
-                    digests += [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-                    n = len(edges) - 1
-                    ids.append(np.full(n, doc))
-                    ks.append(np.arange(n))
-                    starts.append(points[:-1])
-                    ends.append(points[1:])
-                    words.append(np.diff(begun))
+                    begun = np.concatenate(([0], np.cumsum(~blank & np.concatenate(([True], blank[:-1])))))[edges]
+                    digests += [digest(text[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+                    ids.append(np.full(len(edges) - 1, doc))
+                    places.append(points[:-1] << 16 | np.diff(points) << 8 | np.diff(begun))
                 if ids:
-                    d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                    columns = [np.concatenate(ids), d[:, 0], d[:, 1], *(np.concatenate(x).astype(np.int32) for x in (ks, starts, ends, words))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "d1", "d2", "k", "start", "end", "words"])
+                    columns = [np.concatenate(ids), np.array(digests, np.uint64).view(np.int64), np.concatenate(places)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "digest", "place"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     return rows.mapInArrow(chunk, CHUNK)
 
 
-def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24, least: int = 24, most: int = 128, bits: int = 5) -> DataFrame:
+def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24, least: int = 16, most: int = 96, bits: int = 4) -> DataFrame:
     """Redundant spans: doc_id, start, end (code points), words, keeper (least of its chunks' keepers)."""
+    if most > 255:
+        raise ValueError("chunks have 255 bytes at most")
     chunks, _ = common.written(_chunks(docs, id_col, text_col, least, most, bits), "chunks")
-    repeated = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last")
+    repeated = chunks.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last")
     repeated, _ = common.written(repeated, "repeated")
-    redundant = chunks.join(repeated, ["d1", "d2"]).filter("doc_id > keeper").select("doc_id", "k", "start", "end", "words", "keeper")
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("k"))
-    runs = redundant.dropDuplicates(["doc_id", "k", "start", "end", "keeper"]).withColumn("run", F.col("k") - row)
+    redundant = chunks.join(repeated, "digest").filter("doc_id > keeper").select("doc_id", "place", "keeper").dropDuplicates(["doc_id", "place", "keeper"])
+    start, points, words = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
+    placed = redundant.select("doc_id", start.alias("start"), (start + points).alias("end"), words.alias("words"), "keeper")
+    order = Window.partitionBy("doc_id").orderBy("start")
+    fresh = placed.withColumn("fresh", F.coalesce((F.lag("end").over(order) != F.col("start")).cast("int"), F.lit(1)))
+    runs = fresh.withColumn("run", F.sum("fresh").over(order))
     found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("keeper").alias("keeper"))
     return found.filter(F.col("words") >= min_words).drop("run")
 
@@ -119,7 +124,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = repeated_documents(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(own), F.col("spans").alias(cut))
     joined = docs.join(found, F.col(id_col).cast("long") == F.col(own), "left")
     text = F.col(text_col)
-    kept = F.transform(cut, lambda s, i: F.substring(text, F.when(i == 0, 0).otherwise(F.get(F.col(cut), i - 1)["end"]) + 1, s["start"] - F.when(i == 0, 0).otherwise(F.get(F.col(cut), i - 1)["end"])))
+    kept = F.transform(cut, lambda s, i: F.substring(text, F.when(i == 0, 0).otherwise(F.get(F.col(cut), i - 1)["end"]) + 1, (s["start"] - F.when(i == 0, 0).otherwise(F.get(F.col(cut), i - 1)["end"]))))
     last = F.element_at(F.col(cut), -1)["end"]
     rest = F.substring(text, last + 1, F.char_length(text))
     whole = F.when(F.col(cut).isNull(), text).otherwise(F.concat(F.concat_ws("", kept), rest))
