@@ -3,9 +3,10 @@
 A chunk ends where the gear hash of the last WINDOW bytes has its top `bits` bits 0, at `least` bytes or more, or at
 `most` bytes (255 or fewer); ends never split a character. Insertions shift chunks only near them. Equal chunks have
 equal 64-bit digests. A digest's *keeper* is the least doc_id that has it; the chunks of other documents with it are
-redundant. Redundant chunks next to each other make a span, and spans of `min_words` words or more are reported: chunks
-at both ends of a shared passage mix it with what is around, so of a passage of 51 words all but a few per mille show 24
-or more. A span needs several chunks in a row, so two texts of one digest, by chance, do not make one.
+redundant. Redundant chunks next to each other make a span, and spans of `min_words` words or more are reported, each
+with all keepers of its chunks: chunks at both ends of a shared passage mix it with what is around, so of a passage of
+51 words all but a few per mille show 24 or more. A span needs several chunks in a row, so two texts of one digest, by
+chance, do not make one.
 
 Digests are summed to least and greatest doc_id before they are shuffled, so frequent passages are no hot keys there;
 occurrences then join the repeated digests as plain tables, which adaptive execution splits where one is frequent.
@@ -93,7 +94,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, least: int, most: int,
 
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24, least: int = 16, most: int = 96, bits: int = 4) -> DataFrame:
-    """Redundant spans: doc_id, start, end (code points), words, keeper (least of its chunks' keepers)."""
+    """Redundant spans: doc_id, start, end (code points), words, keepers (keeper and words of its chunks that it keeps, by id)."""
     if most > 255:
         raise ValueError("chunks have 255 bytes at most")
     chunks, _ = common.written(_chunks(docs, id_col, text_col, least, most, bits), "chunks")
@@ -105,17 +106,29 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
     order = Window.partitionBy("doc_id").orderBy("start")
     fresh = placed.withColumn("fresh", F.coalesce((F.lag("end").over(order) != F.col("start")).cast("int"), F.lit(1)))
     runs = fresh.withColumn("run", F.sum("fresh").over(order))
-    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("keeper").alias("keeper"))
+    # Dealt by doc_id already: two aggregates and no further shuffle. Each keeper counts, since none of them has the whole span.
+    kept = runs.groupBy("doc_id", "run", "keeper").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
+    found = kept.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("keeper", "words"))).alias("keepers"))
     return found.filter(F.col("words") >= min_words).drop("run")
 
 
-def repeated_documents(docs: DataFrame, **options) -> DataFrame:
-    """Documents with redundant spans: doc_id, n_spans, n_words, keepers (ids of the documents that keep the text), spans."""
-    found = spans(docs, **options)
-    return found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_spans"), F.sum("words").alias("n_words"), F.sort_array(F.collect_set("keeper")).alias("keepers"),
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"),
+def repeated_documents(docs: DataFrame, *, min_words: int = 24, **options) -> DataFrame:
+    """Documents with redundant spans: doc_id, n_spans, n_words, keepers, spans, span_keepers.
+
+    span_keepers has, span by span, every keeper with its words. keepers has the ids of those of `min_words` words or more
+    where the span's others have fewer than that together (edges cut otherwise than in the keeper), else of all.
+    """
+
+    def main(span):
+        small = F.aggregate(F.filter(span["keepers"], lambda k: k["words"] < min_words), F.lit(0).cast("long"), lambda n, k: n + k["words"])
+        return F.when(small < min_words, F.filter(span["keepers"], lambda k: k["words"] >= min_words)).otherwise(span["keepers"])["keeper"]
+
+    found = spans(docs, min_words=min_words, **options).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_spans"), F.sum("words").alias("n_words"), F.sort_array(F.collect_list(F.struct("start", "end", "keepers"))).alias("found")
     )
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("found", main))))
+    places = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return found.select("doc_id", "n_spans", "n_words", ids.alias("keepers"), places.alias("spans"), F.col("found.keepers").alias("span_keepers"))
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -37,6 +37,62 @@ def test_query_against_plain_version(spark):
     assert got == want and len(got) > 50
 
 
+def plain_keepers(docs, spans, min_words=24):
+    """keepers and span_keepers of documents with spans, by dictionaries of chunk texts."""
+    keeper, chunks = {}, defaultdict(list)
+    for doc, text in docs:
+        data = (text or "").encode()
+        edges = [0, *sd.cuts(data)] if data else [0]
+        for a, b in zip(edges, edges[1:], strict=False):
+            words = sum(1 for i in range(a, b) if not data[i : i + 1].isspace() and (i == 0 or data[i - 1 : i].isspace()))
+            chunks[doc].append((len(data[:a].decode()), data[a:b], words))
+            keeper[data[a:b]] = min(keeper.get(data[a:b], doc), doc)
+    out = {}
+    for doc, found in spans.items():
+        ids, each = set(), []
+        for lo, hi in found:
+            words = defaultdict(int)
+            for at, c, n in chunks[doc]:
+                if lo <= at < hi:
+                    words[keeper[c]] += n
+            small = {k for k, n in words.items() if n < min_words}
+            ids |= words.keys() - small if sum(words[k] for k in small) < min_words else words.keys()
+            each.append(sorted(words.items()))
+        out[doc] = (sorted(ids), each)
+    return out
+
+
+def test_keepers_against_plain_version(spark):
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, "documents").collect()]
+    got = {r["doc_id"]: (r["keepers"], [[tuple(k) for k in s] for s in r["span_keepers"]]) for r in op8_substring_dedup(spark, SF).collect()}
+    assert got == plain_keepers(docs, plain(docs)) and any(len(k) > 1 for _, each in got.values() for k in each)
+
+
+def test_chance_holder_does_not_hide_the_first_holder(spark):
+    passage = some_words(1, 70, 9999)
+    data = passage.encode()
+    edge = sd.cuts(data)[1]  # a document that has the first two chunks only
+    docs = [(1, passage[:edge]), (2, passage), (3, passage), (4, passage)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in sd.repeated_documents(df).collect()}
+    assert {doc: r["keepers"] for doc, r in found.items()} == {3: [2], 4: [2]}
+    assert all([k["keeper"] for k in r["span_keepers"][0]] == [1, 2] for r in found.values())
+    assert all(sum(k["words"] for k in r["span_keepers"][0]) == 70 for r in found.values())
+
+
+def test_a_span_of_small_parts_names_all_holders(spark):
+    passage = some_words(1, 70, 9999)
+    data = passage.encode()
+    ends = sd.cuts(data)
+    third = len(ends) // 4
+    parts = [data[a:b].decode() for a, b in zip([0, ends[third], ends[2 * third], ends[3 * third]], [ends[third], ends[2 * third], ends[3 * third], len(data)], strict=True)]
+    held = set().union(*[{p.encode()[a:b] for a, b in zip([0, *sd.cuts(p.encode())], sd.cuts(p.encode()), strict=False)} for p in parts])
+    rest = [data[a:b] for a, b in zip([0, *ends], ends, strict=False) if data[a:b] not in held]
+    df = spark.createDataFrame([*enumerate(parts), (8, passage), (9, passage)], "doc_id long, text string")
+    (found,) = [r for r in sd.repeated_documents(df).collect() if r["doc_id"] == 9]
+    assert set(range(4)) <= set(found["keepers"]) and ((8 in found["keepers"]) == bool(rest))
+
+
 def test_planted_passages(spark):
     passage = some_words(1, 55, 9999)
     docs = [(i, f"{some_words(100 + i, 80, 9999)} {passage if i % 2 else some_words(500 + i, 55, 9999)} {some_words(200 + i, 3 * i, 9999)}") for i in range(40)]
