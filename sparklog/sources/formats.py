@@ -1,4 +1,4 @@
-"""Parsers of line formats: a DataFrame of lines in, one of events out, in Spark functions only.
+"""Parsers of line formats: a DataFrame of lines in, one of events out, in Spark functions (places of array items apart).
 
 Every parser keeps all non-blank lines: what it cannot parse becomes an event of severity UNKNOWN with `unstructured`
 true. Results have the event columns and `unstructured`.
@@ -7,10 +7,11 @@ true. Results have the event columns and `unstructured`.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from sparklog.functions import epoch_timestamp, event_id, iso_timestamp, severit
 from sparklog.schema import EVENT_COLUMNS
 
 MAX_MESSAGE = 8000
+#: Strings (of either quotes, as Spark reads both), brackets, commas and other values.
+JSON_TOKEN = re.compile(r"""(?s)"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[\[\]{},]|[^\s\[\]{},:"']+""")
 
 # Keys of structured logs by event column, the first that has a value counts.
 KEYS = {
@@ -133,14 +136,43 @@ def parse_json(lines: DataFrame, source: Source = Source()) -> DataFrame:  # noq
 def parse_json_array(files: DataFrame, source: Source = Source(), most: int = 64 << 20) -> DataFrame:  # noqa: B008
     """files(source_path, content as text): each an array of objects, parsed like JSON lines; items that are no object are skipped.
 
-    Files above `most` bytes or that hold no array give no events; see array_problems(). An item's line is its rank
-    among the objects, its offset the place of its text in the file, if that can be found.
+    Files above `most` bytes or that hold no array give no events; see array_problems(). An item's line is its rank in
+    the array, its offset the character at which it begins in the file (as in the reference), so equal items differ.
     """
     fine = files.filter((F.octet_length("content") <= most) & F.trim("content").startswith("["))
-    items = fine.select("source_path", "content", F.posexplode(F.from_json("content", "array<string>")).alias("rank", "text"))
+    walked = fine.select("source_path", "content").mapInArrow(_walked, "source_path string, content string, places array<long>")
+    items = walked.select("source_path", "places", F.posexplode(F.from_json("content", "array<string>")).alias("rank", "text"))
     items = items.filter(F.trim("text").startswith("{"))
-    placed = items.select("source_path", (F.call_function("locate", F.col("text"), F.col("content")) - 1).cast("long").alias("byte_offset"), (F.col("rank") + 1).cast("long").alias("line_number"), "text")
-    return parse_json(placed.withColumn("byte_offset", F.greatest("byte_offset", F.lit(0))), source)
+    # Without a place (an array that only Spark's parser can read) the line stands in the event id.
+    return parse_json(items.select("source_path", F.get("places", F.col("rank")).alias("byte_offset"), (F.col("rank") + 1).cast("long").alias("line_number"), "text"), source)
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):  # a file each
+            one = batch.slice(k, 1)
+            places = pa.array([item_places(one.column(1)[0].as_py())], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), places], names=["source_path", "content", "places"])
+
+
+def item_places(text: str) -> list[int]:
+    """The character at which each item of a JSON array begins."""
+    places, depth, due = [], 0, False
+    for found in JSON_TOKEN.finditer(text):
+        first = text[found.start()]
+        if due and first not in ",]}":
+            places.append(found.start())
+            due = False
+        if first in "[{":
+            depth += 1
+            due = due or depth == 1
+        elif first in "]}":
+            depth -= 1
+            if depth == 0:
+                break
+        elif first == "," and depth == 1:
+            due = True
+    return places
 
 
 def array_problems(files: DataFrame, most: int = 64 << 20) -> DataFrame:

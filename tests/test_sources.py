@@ -102,6 +102,29 @@ def test_json_array(spark):
     assert {r[0]: r[1] for r in formats.array_problems(files).collect()} == {"/b": "not a JSON array", "/c": "invalid JSON"}
 
 
+def test_repeated_objects_of_a_json_array_are_kept(spark, tmp_path):
+    text = '[{"message": "x"}, {"message": "x"},\n 5, "a, {\\"[", {"message":"y", "é": [{"message":"y"}]}, {"message":"y"}, {"message": "x"}]'
+    (tmp_path / "a.json").write_text(text)
+    store = EventStore(spark, str(tmp_path / "store"))
+    first = ingest(spark, store, str(tmp_path / "a.json"))
+    assert (first.total, first.inserted) == (5, 5)
+    assert ingest(spark, store, str(tmp_path / "a.json")).inserted == 0
+    rows = store.events().orderBy("line_number").collect()
+    assert [r["message"] for r in rows] == ["x", "x", "y", "y", "x"]
+    assert [r["byte_offset"] for r in rows] == [text.index("{"), text.index("{", 2), text.index('{"message":"y", '), text.rindex('{"message":"y"}'), text.rindex("{")]
+    assert len({r["event_id"] for r in rows}) == 5
+
+
+@pytest.mark.parametrize("text", ["[]", " [ ]", "[1]", '[{"a": "\\\\"}, {"b": "\\""}, [1, {}], null, -1.5e3, "x]"]', "[{'a': ','}, {}]"])
+def test_places_of_array_items(text):
+    places = formats.item_places(text)
+    if "'" in text:
+        assert places == [1, 13]
+        return
+    items = json.loads(text)
+    assert [json.JSONDecoder().raw_decode(text, k)[0] for k in places] == items
+
+
 def test_csv(spark):
     rows = formats.parse_csv(lines_of(spark, '2026-09-01T10:00:00,"hello, ""world""",7', "2026,short", "", "1,2,3,4"), ["ts", "message", "extra"]).orderBy("line_number").collect()
     assert [r["message"] for r in rows] == ['hello, "world"', "short", "2"]
