@@ -176,9 +176,9 @@ def item_places(text: str) -> list[int]:
 
 
 def array_problems(files: DataFrame, most: int = 64 << 20) -> DataFrame:
-    """source_path and problem of JSON array files that give no events."""
+    """source_path and problem of JSON array files that give no events; a null content stands for one above `most` bytes."""
     items = F.from_json("content", "array<string>")
-    problem = F.when(F.octet_length("content") > most, f"file is larger than {most} bytes").when(~F.trim("content").startswith("["), "not a JSON array").when(items.isNull(), "invalid JSON")
+    problem = F.when(F.col("content").isNull() | (F.octet_length("content") > most), f"file is larger than {most} bytes").when(~F.trim("content").startswith("["), "not a JSON array").when(items.isNull(), "invalid JSON")
     return files.select("source_path", problem.alias("problem")).filter("problem is not null")
 
 

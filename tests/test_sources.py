@@ -1,3 +1,4 @@
+import importlib
 import json
 import random
 
@@ -115,6 +116,17 @@ def test_repeated_objects_of_a_json_array_are_kept(spark, tmp_path):
     assert len({r["event_id"] for r in rows}) == 5
 
 
+def test_large_json_arrays_are_reported(spark, tmp_path, monkeypatch):
+    module = importlib.import_module("sparklog.sources.ingest")
+    read = module.whole_files
+    monkeypatch.setattr(module, "whole_files", lambda spark, paths: read(spark, paths, 40))
+    (tmp_path / "small.json").write_text('[{"message": "x"}]')
+    (tmp_path / "large.json").write_text(json.dumps([{"message": "x"}] * 9))
+    result = ingest(spark, EventStore(spark, str(tmp_path / "store")), str(tmp_path / "*.json"))
+    assert (result.total, result.inserted) == (1, 1)
+    assert {k.rsplit("/", 1)[-1]: v for k, v in result.problems.items()} == {"large.json": "file is larger than 67108864 bytes"}
+
+
 @pytest.mark.parametrize("text", ["[]", " [ ]", "[1]", '[{"a": "\\\\"}, {"b": "\\""}, [1, {}], null, -1.5e3, "x]"]', "[{'a': ','}, {}]"])
 def test_places_of_array_items(text):
     places = formats.item_places(text)
