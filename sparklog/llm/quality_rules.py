@@ -3,10 +3,12 @@
 A reference is the mean histogram of a language's documents that pass the base rules, from all documents, so it is one
 small row a listed language (COMMON has the languages), whatever the corpus holds. A document is compared with each
 reference by the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) and its least distance counts:
-a wrong or missing language label does no harm. It is rejected if the distance of character classes or of common words
+which listed label it has does not matter, nor whether it has one. Labels count without case, blanks around and region
+('EN', 'en-US'); those of NO_LABEL count as null. It is rejected if the distance of character classes or of common words
 is over its limit plus `slack` / sqrt(words), the noise of a short text, or their sum over `joint_limit` plus
 `joint_slack` / sqrt(words); under `min_words` words the method gives no
-verdict and only the base rules count, and so it is for languages that are not listed and for an empty set of references.
+verdict and only the base rules count, and so it is for other labels (languages without a reference, whose clean texts
+would be far from all references) and for an empty set of references.
 
 Null counts as an empty text: all counts 0, base rule failed, not kept. Repeated rows get equal verdicts. Other columns
 pass through; a column of the name `out` is replaced.
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklog.llm import common
@@ -31,6 +33,7 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son aux d'un cette ont ses mais comme on tout nous sa fait été".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos".split(),
 }
+NO_LABEL = ("", "none", "null", "und", "unk", "unknown", "n/a")
 WORDS = {w.encode(): k for k, w in enumerate(sorted({w for words in COMMON.values() for w in words}))}
 CLASSES = ("aeiou", "nrstld", "bcfghjkmpqvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\t\r\f\v", ".,", "!?", "|<>#*$%&", "'\"()-:;")
 #: Class of a byte: 11 other ASCII, 12 the first byte of another character, 13 its further bytes (not counted).
@@ -84,6 +87,12 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
+def label(lang: Column) -> Column:
+    """A language label as COMMON has it; null if it names none."""
+    plain = F.lower(F.trim(lang.cast("string")))
+    return F.when(~plain.isin(*NO_LABEL), F.element_at(F.split(plain, "[-_]"), 1))
+
+
 def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[float]]:
     """Mean histogram of each listed language over its documents that pass the base rules; one row a task and language is shuffled."""
     size = 13 + len(WORDS) + 1
@@ -100,7 +109,7 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
         kept = [k for k, x in sums.items() if x[-1]]
         yield pa.RecordBatch.from_pydict({"lang": pa.array(kept, pa.string()), "sums": pa.array([sums[k].tolist() for k in kept], pa.list_(pa.float64()))})
 
-    listed = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isin(*COMMON))
+    listed = docs.select(label(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isin(*COMMON))
     total = listed.mapInArrow(gather, "lang string, sums array<double>").select("lang", F.posexplode("sums").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
     found = {lang: np.zeros(size + 1) for lang in COMMON}
     for row in total.collect():  # listed languages x histogram cells at most
@@ -135,7 +144,7 @@ def quality(
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.StructArray.from_arrays(columns, names)
 
-    return docs.withColumn(out, judge(F.col(text_col), F.col(lang_col)))
+    return docs.withColumn(out, judge(F.col(text_col), label(F.col(lang_col))))
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:

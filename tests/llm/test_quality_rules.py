@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparklog.llm import quality_rules as q
 from sparklog.llm.queries import op6_quality_rules
@@ -69,6 +70,19 @@ def test_distances_against_plain_sums(spark, rows):
                 assert got == pytest.approx(least, abs=1e-9)
 
 
+def test_other_forms_of_labels_are_judged_as_well(spark, rows):
+    docs = table(spark, "documents")
+    forms = F.create_map(*[F.lit(x) for pair in {"en": "EN", "de": " de-AT", "fr": "unknown", "es": ""}.items() for x in pair])
+    given = q.references(docs)
+    found = q.quality(docs.withColumn("lang", forms[F.col("lang")]), given=given).collect()
+    assert all(r["quality"]["kept"] == rows[r["doc_id"]]["kept"] for r in found)
+    assert sum(r["quality"]["class_distance"] is not None for r in found) == sum(r["class_distance"] is not None for r in rows.values()) > 100
+    again = q.references(docs.withColumn("lang", F.upper("lang")))
+    assert set(again) == set(given) and all(again[k] == pytest.approx(given[k]) for k in given)
+    italian = docs.limit(50).withColumn("lang", F.lit("it"))  # no reference: not judged
+    assert all(r["quality"]["class_distance"] is None for r in q.quality(italian, given=given).collect())
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark, "quality string")
     found = q.quality(docs, out="found").collect()
