@@ -212,15 +212,21 @@ def multiline_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored: two thirds of the events; a batch of all, twice, leaves the other third."""
+    """Stored: two thirds of the events, in an event store; a batch of all, twice, leaves the other third."""
     own = events(spark, sf_dir)
-    batch = own.unionByName(own).dropDuplicates(["event_id"])
-    return batch.join(own.filter("line_number % 3 <> 0").select("event_id"), "event_id", "left_anti").select("event_id", "line_number")
+    store = EventStore(spark, f"{_work_folder(spark)}/store")
+    store.insert(own.filter("line_number % 3 <> 0"))
+    return store.new_events(own.unionByName(own)).select("event_id", "line_number")
+
+
+def _work_folder(spark: SparkSession) -> str:
+    """A new folder below the shared folder or a temporary one."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).removeprefix('file://')}/sparklog-{uuid.uuid4().hex}"
 
 
 def _log_file(spark: SparkSession, sf_dir: str) -> str:
     """A new folder with the events as one file of JSON lines, below the shared folder or a temporary one."""
-    work = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).removeprefix('file://')}/sparklog-{uuid.uuid4().hex}"
+    work = _work_folder(spark)
     json_lines(spark, sf_dir).orderBy("line_number").select("text").coalesce(1).write.text(f"{work}/logs")
     return work
 

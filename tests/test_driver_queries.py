@@ -29,3 +29,12 @@ def test_matches_sql(spark, duck, name):
     assert sorted(found.columns) == columns
     order = [found.columns.index(c) for c in columns]
     assert ours == sorted(repr([plain(r[k]) for k in order]) for r in found.fetchall())
+
+
+def test_dedup_append_asks_the_store(spark, monkeypatch):
+    asked = []
+    new_events = driver_queries.EventStore.new_events
+    monkeypatch.setattr(driver_queries.EventStore, "new_events", lambda self, events: asked.append(self.events().count()) or new_events(self, events))
+    found = driver_queries.dedup_append(spark, SF).count()
+    n = driver_queries.events(spark, SF).count()
+    assert asked == [0, n - found] and 0 < found < n
