@@ -3,34 +3,32 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.functions import bucket, is_error, is_warning, signature
+from sparklog.functions import as_utc, bucket, is_error, is_warning, moment, signature
 
+# Columns of correlated events, as shown and as fetched.
+FETCHED = ("event_id", "source_alias", "source_path", "line_number", "timestamp", "severity", "message", "service", "trace_id", "span_id", "parent_span_id", "request_id", "session_id", "duration_ms", "status_code")
 CORRELATED = ("event_id", "timestamp", "severity", "service", "message", "trace_id", "span_id", "parent_span_id", "request_id", "session_id", "duration_ms", "line_number")
 
 
-def between(start: datetime | None, end: datetime | None, column: str = "timestamp") -> Column:
-    """start <= timestamp < end, either side open if None."""
-    own, out = F.col(column), F.lit(True)
+def between(events: DataFrame, start: datetime | None, end: datetime | None, column: str = "timestamp") -> Column:
+    """start <= timestamp < end, either side open if None; bounds without an offset are UTC."""
+    own, kind, out = F.col(column), events.schema[column].dataType, F.lit(True)
     if start is not None:
-        out = out & (own >= F.lit(start))
-    return out if end is None else out & (own < F.lit(end))
-
-
-def _bucket(events: DataFrame, resolution: str) -> Column:
-    """Bucket of the timestamp, in the timestamp's own type."""
-    return bucket(F.col("timestamp"), resolution).cast(events.schema["timestamp"].dataType).alias("bucket")
+        out = out & (own >= moment(start, kind))
+    return out if end is None else out & (own < moment(end, kind))
 
 
 def timeline(events: DataFrame, resolution: str = "minute", start: datetime | None = None, end: datetime | None = None, source_id: int | None = None, limit: int = 5000) -> DataFrame:
     """bucket, count, errors, warnings by time; buckets without events are absent."""
-    rows = events.filter(F.col("timestamp").isNotNull() & between(start, end))
+    rows = events.filter(F.col("timestamp").isNotNull() & between(events, start, end))
     if source_id is not None:
         rows = rows.filter(F.col("source_id") == source_id)
-    counts = rows.groupBy(_bucket(events, resolution)).agg(
+    counts = rows.groupBy(bucket(F.col("timestamp"), resolution).alias("bucket")).agg(
         F.count(F.lit(1)).alias("count"), F.count_if(is_error()).alias("errors"), F.count_if(is_warning()).alias("warnings")
     )
     return counts.orderBy("bucket").limit(limit)
@@ -47,7 +45,7 @@ def severity_counts(events: DataFrame) -> dict[str, int]:
 def severity_over_time(events: DataFrame, resolution: str = "minute", severities: tuple[str, ...] = ("ERROR", "WARN", "INFO")) -> DataFrame:
     """bucket, severity, count for the listed severities, in long form."""
     rows = events.filter(F.col("severity").isin(*severities) & F.col("timestamp").isNotNull())
-    return rows.groupBy(_bucket(events, resolution), "severity").agg(F.count(F.lit(1)).alias("count")).orderBy("bucket", "severity")
+    return rows.groupBy(bucket(F.col("timestamp"), resolution).alias("bucket"), "severity").agg(F.count(F.lit(1)).alias("count")).orderBy("bucket", "severity")
 
 
 def top_services(events: DataFrame, limit: int = 10) -> DataFrame:
@@ -70,19 +68,24 @@ def group_messages(events: DataFrame, column: str = "message") -> DataFrame:
     return events.select(signature(F.col(column)).alias("signature"), F.col(column).alias("message")).distinct()
 
 
-def _correlated(trace_id: str | None, request_id: str | None, session_id: str | None) -> Column:
-    wanted = {"trace_id": trace_id, "request_id": request_id, "session_id": session_id}
-    out = F.lit(False)
-    for column, value in wanted.items():
-        if value:
-            out = out | (F.col(column) == F.lit(value))
-    return out
+def _of_any(**ids: str | None) -> Column:
+    """Whether any of the given ids is the row's; none given: no row."""
+    wanted = [F.col(name) == F.lit(value) for name, value in ids.items() if value]
+    return reduce(lambda a, b: a | b, wanted, F.lit(False))
+
+
+def _correlation(events: DataFrame, columns: tuple[str, ...], **ids: str | None) -> DataFrame:
+    return events.filter(_of_any(**ids)).select(*columns).orderBy(F.col("timestamp").asc_nulls_last(), "line_number")
 
 
 def collect_correlation(events: DataFrame, trace_id: str | None = None, request_id: str | None = None, session_id: str | None = None) -> DataFrame:
     """Events of any of the given ids, in time order; none given: no rows."""
-    rows = events.filter(_correlated(trace_id, request_id, session_id))
-    return rows.select(*CORRELATED).orderBy(F.col("timestamp").asc_nulls_last(), "line_number")
+    return _correlation(events, CORRELATED, trace_id=trace_id, request_id=request_id, session_id=session_id)
+
+
+def fetch_by_correlation(events: DataFrame, trace_id: str | None = None, request_id: str | None = None, session_id: str | None = None) -> DataFrame:
+    """The same events with their source and status (FETCHED)."""
+    return _correlation(events, FETCHED, trace_id=trace_id, request_id=request_id, session_id=session_id)
 
 
 def build_hierarchy(correlated: DataFrame) -> DataFrame:
@@ -124,9 +127,16 @@ def fetch_event(events: DataFrame, event_id: str) -> DataFrame:
 
 
 def overview(events: DataFrame) -> DataFrame:
-    """One row: events, errors, warnings, first and last time, seconds between, sources, services."""
+    """One row: events, errors, warnings, first and last time, microseconds between, sources, services."""
+    kind = events.schema["timestamp"].dataType
+    first, last = (F.unix_micros(as_utc(f("timestamp"), kind)) for f in (F.min, F.max))
     return events.agg(
         F.count(F.lit(1)).alias("events"), F.count_if(is_error()).alias("errors"), F.count_if(is_warning()).alias("warnings"), F.min("timestamp").alias("first_event"),
-        F.max("timestamp").alias("last_event"), (F.unix_micros(F.max("timestamp").cast("timestamp")) - F.unix_micros(F.min("timestamp").cast("timestamp"))).alias("range_micros"),
+        F.max("timestamp").alias("last_event"), (last - first).alias("range_micros"),
         F.count_distinct("source_path").alias("sources"), F.count_distinct("service").alias("services"),
     )
+
+
+def source_summary(events: DataFrame) -> DataFrame:
+    """A row a source: alias, path, events, errors, first and last time."""
+    return events.groupBy("source_path").agg(F.max("source_alias").alias("source_alias"), F.count(F.lit(1)).alias("events"), F.count_if(is_error()).alias("errors"), F.min("timestamp").alias("first_event"), F.max("timestamp").alias("last_event"))

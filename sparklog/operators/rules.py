@@ -16,8 +16,10 @@ from typing import Any
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparklog.functions import is_error, signature
+from sparklog.functions import as_utc, is_error, moment, signature, utc_text
+from sparklog.operators.analytics import between
 
 ALERT_COLUMNS = ("id", "rule_id", "rule_name", "severity", "fired_at", "title", "explanation", "threshold", "observed", "time_window", "scope")
 MOST_SIGNATURES = 50
@@ -48,8 +50,11 @@ class Context:
         return self.now - timedelta(minutes=minutes)
 
     def within(self, start: datetime, end: datetime | None = None) -> Column:
-        own = F.col("timestamp")
-        return (own >= F.lit(start)) if end is None else (own >= F.lit(start)) & (own < F.lit(end))
+        return between(self.events, start, end)
+
+    def text(self, time: str) -> Column:
+        """A time that comes from the events' timestamps, as ISO text in UTC."""
+        return utc_text(as_utc(F.col(time), self.events.schema["timestamp"].dataType))
 
 
 Rule = Callable[[Context], DataFrame]
@@ -95,7 +100,7 @@ def _alerts(ctx: Context, found: DataFrame, identity: list[Column | str | None],
     pairs = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in scope.items()]), lambda e: e["v"].isNotNull())) if scope else F.create_map().cast("map<string,string>")
     return found.select(
         alert_id(ctx.config.rule_id, ctx.workspace_id, *identity).alias("id"), F.lit(ctx.config.rule_id).alias("rule_id"), F.lit(NAMES.get(ctx.config.rule_id, ctx.config.name)).alias("rule_name"),
-        F.lit(ctx.config.severity).alias("severity"), F.lit(ctx.now).alias("fired_at"), title.alias("title"), explanation.alias("explanation"), F.lit(threshold).alias("threshold"),
+        F.lit(ctx.config.severity).alias("severity"), moment(ctx.now, T.TimestampType()).alias("fired_at"), title.alias("title"), explanation.alias("explanation"), F.lit(threshold).alias("threshold"),
         observed.alias("observed"), F.lit(window).cast("string").alias("time_window"), pairs.alias("scope"),
     )
 
@@ -126,7 +131,7 @@ def error_rate_spike(ctx: Context) -> DataFrame:
 def new_signatures(ctx: Context) -> DataFrame:
     """signature, first_seen of error signatures in the window that no earlier error has."""
     start = ctx.ago(ctx.get("window_min"))
-    inside, before = F.col("timestamp") >= F.lit(start), F.col("timestamp") < F.lit(start)
+    inside, before = ctx.within(start), ~ctx.within(start)
     messages = ctx.events.filter(is_error() & F.col("timestamp").isNotNull()).groupBy("message").agg(F.count_if(before).alias("old"), F.min(F.when(inside, F.col("timestamp"))).alias("seen"))
     found = messages.groupBy(signature(F.col("message")).alias("signature")).agg(F.sum("old").alias("old"), F.min("seen").alias("first_seen"))
     found = found.filter("old = 0 and first_seen is not null and signature <> ''").drop("old")
@@ -136,7 +141,7 @@ def new_signatures(ctx: Context) -> DataFrame:
 @register("new_error_signature")
 def new_error_signature(ctx: Context) -> DataFrame:
     """Error signatures that appear for the first time."""
-    s, seen = F.col("signature"), F.date_format("first_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    s, seen = F.col("signature"), ctx.text("first_seen")
     explanation = F.concat(F.lit("No earlier error has this signature: "), s)
     return _alerts(ctx, new_signatures(ctx), [s, seen], F.concat(F.lit("New error signature: "), F.substring(s, 1, 80)), explanation, "First occurrence", F.concat(F.lit("First seen at "), seen), f"{ctx.get('window_min')} min", {"signature": s})
 
@@ -176,13 +181,13 @@ def event_burst(ctx: Context) -> DataFrame:
 def silent_services(ctx: Context) -> DataFrame:
     """service, last_seen of services whose last event is too long ago."""
     last = ctx.events.filter("timestamp is not null").groupBy("service").agg(F.max("timestamp").alias("last_seen"))
-    return last.filter(F.col("last_seen") < F.lit(ctx.ago(ctx.get("silence_min"))))
+    return last.filter(~between(last, ctx.ago(ctx.get("silence_min")), None, "last_seen"))
 
 
 @register("missing_heartbeat")
 def missing_heartbeat(ctx: Context) -> DataFrame:
     """A service has gone silent."""
-    name, minutes, seen = F.coalesce("service", F.lit("unknown")), ctx.get("silence_min"), F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    name, minutes, seen = F.coalesce("service", F.lit("unknown")), ctx.get("silence_min"), ctx.text("last_seen")
     explanation = F.format_string(f"No event of %s since %s; expected one every {minutes} minute(s).", name, seen)
     return _alerts(ctx, silent_services(ctx), [F.col("service")], F.concat(F.lit("No events from "), name), explanation, f"{minutes} min of silence", F.concat(F.lit("Last seen at "), seen), f"{minutes} min", {"service": F.col("service")})
 

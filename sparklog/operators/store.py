@@ -1,22 +1,39 @@
-"""The event store: Parquet partitioned by source and event date, appended without duplicates; and the source table.
+"""The event store: Parquet partitioned by source and event date (UTC), appended without duplicates; and the source table.
 
 Within source and date, files are sorted by time, so that row-group statistics prune. An insert keeps one row an
-event_id and leaves out the ids that the store has: an anti join on the ids of the same sources only. Counts come from
-the rows that were written. Source statistics are an append-only table of runs, summed when read.
+event_id and leaves out the ids that the store has. An id hashes its event's path and byte offset, so only stored events
+of the batch's sources and inside its range of offsets can have it: an anti join on those, which for appended lines
+reads next to nothing. Counts come from the rows that were written. Source statistics are an append-only table of
+runs, summed when read; settings (enabled) are rows of it too.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from datetime import UTC, datetime
+from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sparklog.functions import as_utc, utc_date
 from sparklog.schema import EVENT_COLUMNS, EVENT_SCHEMA
 
-RUN_SCHEMA = "run_id string, source_id long, path string, alias string, parser string, size_bytes long, sample_hash string, ingested_at timestamp, total_events long, inserted_events long, unstructured_lines long, parse_errors long, last_byte_offset long, first_event_at timestamp, last_event_at timestamp, deleted boolean"
+COUNTERS = ("total_events", "inserted_events", "unstructured_lines", "parse_errors", "rejected_lines")
+SETTINGS = ("alias", "enabled", "parser", "size_bytes", "mtime_ns", "sample_hash", "content_kind", "last_byte_offset")
+RUN_SCHEMA = (
+    "run_id string, source_id long, path string, alias string, enabled boolean, parser string, size_bytes long, mtime_ns long, sample_hash string, content_kind string, ingested_at timestamp, "
+    "total_events long, inserted_events long, unstructured_lines long, parse_errors long, rejected_lines long, last_byte_offset long, first_event_at timestamp, last_event_at timestamp, deleted boolean"
+)
+#: Sources of a batch that are named in the scan of the store; more are found by a join.
+NAMED_SOURCES = 1000
+
+
+def source_id(path: Column) -> Column:
+    """The id of a source path: a hash, so that ids need no counter and never clash between writers."""
+    return F.xxhash64(path).bitwiseAND(F.lit((1 << 63) - 1))
 
 
 class EventStore:
@@ -36,56 +53,101 @@ class EventStore:
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_SCHEMA)
         return self._read("events", f"{fields}, event_date date")
 
+    def staged(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """rows written below the store and read again, and the folder, which drop() deletes."""
+        folder = f"{self.path}/staging/{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder), folder
+
+    def drop(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def new_events(self, events: DataFrame) -> DataFrame:
-        """events without repeated ids and without those that the store has."""
-        batch = events.dropDuplicates(["event_id"])
-        stored = self.events().select("event_id", "source_id")
-        # Ids contain their source's path: only sources in the batch can have them.
-        sources = batch.select("source_id").distinct()
-        return batch.join(stored.join(sources, "source_id", "left_semi").select("event_id"), "event_id", "left_anti")
+        """events without repeated ids and without those that the store has. events is read twice: best a written or cached one."""
+        ranges = events.groupBy("source_id").agg(F.min("byte_offset").alias("low"), F.max("byte_offset").alias("high"))
+        sources = ranges.limit(NAMED_SOURCES + 1).collect()
+        stored = self.events().select("event_id", "source_id", "byte_offset")
+        if len(sources) <= NAMED_SOURCES:
+            low, high = ([r[k] for r in sources if r[k] is not None] for k in ("low", "high"))
+            inside = F.col("byte_offset").between(min(low), max(high)) if low else F.lit(False)
+            stored = stored.filter(F.col("source_id").isin([r["source_id"] for r in sources]) & (inside | F.col("byte_offset").isNull()))
+        else:
+            stored = stored.join(ranges.select("source_id"), "source_id", "left_semi")
+        return events.dropDuplicates(["event_id"]).join(stored.select("event_id"), "event_id", "left_anti")
 
     def insert(self, events: DataFrame) -> int:
-        """Append the new events and return how many there were."""
-        rows = self.new_events(events).select(*EVENT_COLUMNS).withColumn("event_date", F.to_date("timestamp"))
-        rows, counter = _counted(rows)
-        rows = rows.repartition("source_id", "event_date", F.pmod(F.xxhash64("event_id"), F.lit(16))).sortWithinPartitions("source_id", "event_date", "timestamp")
-        rows.write.mode("append").partitionBy("source_id", "event_date").parquet(f"{self.path}/events")
+        """Append the new events and return how many there were. Times without a zone are UTC."""
+        rows = self.new_events(events)
+        rows = rows.select(*[as_utc(F.col(c), events.schema[c].dataType).alias(c) for c in EVENT_COLUMNS])
+        counter = Observation(f"insert-{uuid.uuid4().hex}")
+        rows = rows.withColumn("event_date", utc_date(F.col("timestamp"))).observe(counter, F.count(F.lit(1)).alias("n"))
+        self._append(rows, "append")
         return int(counter.get["n"])
 
-    def record_run(self, **run) -> None:
-        values = {"run_id": uuid.uuid4().hex, "ingested_at": datetime.now(UTC), "deleted": False} | run
+    def _append(self, rows: DataFrame, mode: str) -> None:
+        """Write events with their date; adaptive execution makes a task of every advisory size of a source and day."""
+        dealt = rows.hint("rebalance", F.col("source_id"), F.col("event_date")).sortWithinPartitions("source_id", "event_date", "timestamp")
+        dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("source_id", "event_date").parquet(f"{self.path}/events")
+
+    def compact(self, files: int = 8) -> int:
+        """Rewrite the partitions of more than `files` files, and return how many there were. Not to run beside writers."""
+        places = self.events().select("source_id", "event_date", F.col("_metadata.file_path").alias("file"))
+        crowded = places.distinct().groupBy("source_id", "event_date").count().filter(F.col("count") > files).drop("count")
+        crowded, listed = self.staged(crowded)
+        found = crowded.count()
+        if found:
+            own, c = self.events().alias("e"), crowded.alias("c")
+            same = (F.col("e.source_id") == F.col("c.source_id")) & F.col("e.event_date").eqNullSafe(F.col("c.event_date"))
+            rows, held = self.staged(own.join(c, same, "left_semi"))
+            self._append(rows, "overwrite")
+            self.drop(held)
+        self.drop(listed)
+        return found
+
+    def record_runs(self, runs: Iterable[dict[str, Any]]) -> None:
+        """Append rows to the table of runs: one write for all of them."""
         names = [part.split()[0] for part in RUN_SCHEMA.split(", ")]
-        self.spark.createDataFrame([tuple(values.get(n) for n in names)], RUN_SCHEMA).write.mode("append").parquet(f"{self.path}/runs")
+        common = {"run_id": uuid.uuid4().hex, "ingested_at": datetime.now(UTC), "deleted": False} | dict.fromkeys(COUNTERS, 0)
+        rows = [tuple((common | run).get(n) for n in names) for run in runs]
+        if rows:
+            frame = self.spark.createDataFrame(rows, RUN_SCHEMA).withColumn("source_id", source_id(F.col("path")))
+            frame.coalesce(1 + len(rows) // 100_000).write.mode("append").parquet(f"{self.path}/runs")
+
+    def record_run(self, **run: Any) -> None:
+        self.record_runs([run])
 
     def sources(self) -> DataFrame:
         """A row a source: counters summed over runs since it was last deleted, latest settings, first and last event."""
         runs = self._read("runs", RUN_SCHEMA)
         gone = runs.filter("deleted").groupBy("path").agg(F.max("ingested_at").alias("gone"))
         live = runs.filter("not deleted").join(gone, "path", "left").filter("gone is null or ingested_at > gone")
-        latest = [F.max_by(c, "ingested_at").alias(c) for c in ("source_id", "alias", "parser", "size_bytes", "sample_hash", "last_byte_offset")]
-        sums = [F.sum(c).alias(c) for c in ("total_events", "inserted_events", "unstructured_lines", "parse_errors")]
-        return live.groupBy("path").agg(*latest, *sums, F.min("first_event_at").alias("first_event_at"), F.max("last_event_at").alias("last_event_at"), F.max("ingested_at").alias("last_ingested_at"))
-
-    def source_id(self, path: str) -> int:
-        """The id of a source path: a hash, so that ids need no counter and never clash between writers."""
-        return source_ids(self.spark, [path])[path]
+        latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ingested_at"))).alias(c) for c in ("source_id", *SETTINGS)]
+        sums = [F.sum(c).alias(c) for c in COUNTERS]
+        run = F.when(F.col("parser").isNotNull(), F.col("ingested_at"))
+        found = live.groupBy("path").agg(*latest, *sums, F.min("first_event_at").alias("first_event_at"), F.max("last_event_at").alias("last_event_at"), F.max(run).alias("last_ingested_at"))
+        return found.withColumn("enabled", F.coalesce("enabled", F.lit(True)))
 
-    def delete_source(self, path: str) -> None:
-        """Drop a source's partitions and mark its runs deleted."""
-        source = self.source_id(path)
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/events/source_id={source}")
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-        self.record_run(source_id=source, path=path, deleted=True)
+    def list_sources(self) -> DataFrame:
+        return self.sources().orderBy("alias", "path")
 
+    def get_source(self, path: str) -> DataFrame:
+        return self.sources().filter(F.col("path") == path)
 
-def source_ids(spark: SparkSession, paths: list[str]) -> dict[str, int]:
-    """Ids of source paths, as abs(xxhash64(source_path)) gives them in a query."""
-    rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", F.abs(F.xxhash64("path")))
-    return {r[0]: int(r[1]) for r in rows.collect()}
+    def set_enabled(self, path: str, enabled: bool) -> None:
+        self.record_run(path=path, enabled=enabled)
 
+    def progress(self, path: str, **values: Any) -> None:
+        """Add to a source's counters (COUNTERS) and set what else is given (SETTINGS, first_event_at, last_event_at)."""
+        unknown = set(values) - {*COUNTERS, *SETTINGS, "first_event_at", "last_event_at"}
+        if unknown:
+            raise ValueError(f"unknown source fields: {', '.join(sorted(unknown))}")
+        self.record_run(path=path, **values)
 
-def _counted(rows: DataFrame):
-    from pyspark.sql import Observation
+    def source_id(self, path: str) -> int:
+        return int(self.spark.range(1).select(source_id(F.lit(path))).first()[0])
 
-    counter = Observation(f"insert-{uuid.uuid4().hex}")
-    return rows.observe(counter, F.count(F.lit(1)).alias("n")), counter
+    def delete_source(self, path: str) -> None:
+        """Drop a source's partitions and mark its runs deleted."""
+        self.drop(f"{self.path}/events/source_id={self.source_id(path)}")
+        self.record_run(path=path, deleted=True)

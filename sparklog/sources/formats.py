@@ -12,10 +12,13 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparklog.functions import epoch_timestamp, event_id, iso_timestamp, severity_of, text_timestamp
+from sparklog.functions import epoch_timestamp, event_id, iso_timestamp, moment, severity_of, text_timestamp
 from sparklog.schema import EVENT_COLUMNS
 
 MAX_MESSAGE = 8000
@@ -79,7 +82,7 @@ def _events(lines: DataFrame, source: Source, raw_format: str, raw: Column, colu
     fixed = {
         "event_id": event_id(F.col("source_path"), raw, F.col("byte_offset"), F.col("line_number")), "source_id": F.lit(source.source_id).cast("long"),
         "source_alias": F.when(F.lit(source.alias == ""), F.element_at(F.split("source_path", "/"), -1)).otherwise(source.alias), "source_path": F.col("source_path"),
-        "line_number": F.col("line_number"), "byte_offset": F.col("byte_offset"), "raw_format": F.lit(raw_format), "ingested_at": F.lit(source.ingested_at),
+        "line_number": F.col("line_number"), "byte_offset": F.col("byte_offset"), "raw_format": F.lit(raw_format), "ingested_at": moment(source.ingested_at, T.TimestampType()),
     }
     kinds = {"timestamp": "timestamp", "duration_ms": "double", "status_code": "int"}
     rest = {c: F.lit(None).cast(kinds.get(c, "string")) for c in EVENT_COLUMNS}
@@ -235,15 +238,34 @@ def parse_text(events: DataFrame, source: Source = Source()) -> DataFrame:  # no
 
 
 def java_pattern(pattern: str) -> tuple[str, dict[str, int]]:
-    """A Python pattern as a Java one, and the numbers of its named groups."""
-    compiled = re.compile(pattern)
-    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)), dict(compiled.groupindex)
+    """A Python pattern as a Java one, in which groups are called by their numbers (g1, g2, ...), and the numbers of its named groups.
+
+    Raises re.error where Python cannot compile it.
+    """
+    numbers = dict(re.compile(pattern).groupindex)
+
+    def renamed(found: re.Match[str]) -> str:
+        if found["named"]:
+            return f"(?<g{numbers[found['named']]}>"
+        return rf"\k<g{numbers[found['back']]}>" if found["back"] else found[0]
+
+    return re.sub(r"\\.|\(\?P<(?P<named>\w+)>|\(\?P=(?P<back>\w+)\)", renamed, pattern, flags=re.DOTALL), numbers
+
+
+def _compiles(lines: DataFrame, pattern: str) -> bool:
+    """Whether Java, which runs the pattern, can compile it."""
+    try:
+        lines.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
 
 
 def parse_regex(lines: DataFrame, source: Source) -> DataFrame:
     """Lines by a regular expression with named groups (found anywhere) and a map of event fields to groups.
 
-    Without an expression there are no events; with an invalid one, or where it does not match, lines are unstructured.
+    Without an expression there are no events; with one that Python or Java cannot compile, or where it does not match,
+    lines are unstructured.
     """
     text = F.col("text")
     if not source.regex:
@@ -252,6 +274,8 @@ def parse_regex(lines: DataFrame, source: Source) -> DataFrame:
     try:
         pattern, groups = java_pattern(source.regex)
     except re.error:
+        pattern, groups = "[", {}
+    if not _compiles(lines, pattern):
         return _events(lines, source, "regex", text, columns, F.lit(True))
     hit = text.rlike(pattern)
 

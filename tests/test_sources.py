@@ -1,16 +1,18 @@
 import importlib
 import json
 import random
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparklog.functions import event_id, signature
+from sparklog.functions import bucket, event_id, signature, text_timestamp, utc_date, utc_text
+from sparklog.operators.query import frame
 from sparklog.operators.store import EventStore
-from sparklog.sources import formats
-from sparklog.sources.detect import detect
+from sparklog.sources import formats, parsers
+from sparklog.sources.detect import SCORES, detect, fingerprints
 from sparklog.sources.formats import Source
-from sparklog.sources.ingest import ingest
+from sparklog.sources.ingest import ingest, inspect
 from sparklog.sources.lines import read_folded, read_lines, slice_lines
 
 
@@ -117,7 +119,7 @@ def test_repeated_objects_of_a_json_array_are_kept(spark, tmp_path):
 
 
 def test_large_json_arrays_are_reported(spark, tmp_path, monkeypatch):
-    module = importlib.import_module("sparklog.sources.ingest")
+    module = importlib.import_module("sparklog.sources.parsers")
     read = module.whole_files
     monkeypatch.setattr(module, "whole_files", lambda spark, paths: read(spark, paths, 40))
     (tmp_path / "small.json").write_text('[{"message": "x"}]')
@@ -215,3 +217,125 @@ def test_ingest_is_idempotent(spark, tmp_path):
     store.delete_source(sources["a.jsonl"]["path"])
     assert store.events().count() == 3
     assert store.sources().count() == 3
+
+
+ZONES = ("UTC", "America/Los_Angeles", "Asia/Kolkata")
+
+
+@pytest.fixture(params=ZONES)
+def zone(spark, request):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def micros(text):
+    return int(datetime.fromisoformat(text).replace(tzinfo=UTC).timestamp() * 1_000_000)
+
+
+def test_times_are_utc_in_any_session(spark, zone):
+    texts = {
+        "2026-03-08 02:30:00": "2026-03-08T02:30:00", "2026-03-08": "2026-03-08", "2026-03-08T02:30": "2026-03-08T02:30:00", "2026-03-08 02": "2026-03-08T02:00:00", "2026-03-08T02:30+0100": "2026-03-08T01:30:00", "2026-03-08T02:30:00,25": "2026-03-08T02:30:00.25", "2026/03/08 02:30:00": "2026-03-08T02:30:00",
+        "Mar  8 02:30:00": "1900-03-08T02:30:00", "08/Mar/2026:02:30:00 +0100": "2026-03-08T01:30:00", "2026-03-08T02:30:00+05": "2026-03-07T21:30:00", "2026-03-08 02:30:00Z": "2026-03-08T02:30:00", "2026": None, "x": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.unix_micros(text_timestamp(F.col("t"))).alias("m")).collect()
+    assert {r["t"]: r["m"] for r in rows} == {t: None if w is None else micros(w) for t, w in texts.items()}
+    when = spark.range(1).select(F.timestamp_micros(F.lit(micros("2026-03-08T02:31:07.000005"))).alias("t"))
+    assert tuple(when.select(utc_text(F.col("t")), utc_date(F.col("t")).cast("string")).first()) == ("2026-03-08T02:31:07.000005", "2026-03-08")
+    for unit, start in {"second": "2026-03-08T02:31:07", "minute": "2026-03-08T02:31:00", "five_minutes": "2026-03-08T02:30:00", "hour": "2026-03-08T02:00:00", "day": "2026-03-08"}.items():
+        assert when.select(F.unix_micros(bucket(F.col("t"), unit))).first()[0] == micros(start)
+
+
+def test_date_pruning_keeps_rows_in_any_session(spark, zone, tmp_path):
+    log = tmp_path / "a.jsonl"
+    log.write_text("".join(json.dumps({"timestamp": f"2024-01-05 {h:02d}:00:00", "message": str(h)}) + "\n" for h in (0, 1, 2, 9, 23)))
+    store = EventStore(spark, str(tmp_path / "store"))
+    assert ingest(spark, store, str(log)).inserted == 5
+    for query, n in {'ts <= "2024-01-05T02:00:00"': 3, 'ts > "2024-01-05T09:00:00Z"': 1, 'ts = "2024-01-05T01:00:00"': 1, 'ts < "2024-01-04T20:30:00-04:00"': 1}.items():
+        assert frame(store.events(), query).count() == n
+    assert [str(r[0]) for r in store.events().select("event_date").distinct().collect()] == ["2024-01-05"]
+
+
+def test_large_files_are_not_read_whole_to_judge_them(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"message": "x"}\n' * 50)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)
+    try:
+        found = list(fingerprints(spark, str(tmp_path), small=100))
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [(r["format"], r["size"]) for r in found] == [("jsonl", 850)]
+    assert found == [r | {"score": 1.0} for r in fingerprints(spark, str(tmp_path))]
+
+
+def test_ingest_scans_each_file_twice(spark, tmp_path, monkeypatch):
+    module = importlib.import_module("sparklog.sources.lines")
+    scans, read = [], module._raw
+    monkeypatch.setattr(module, "_raw", lambda *a: scans.append(a) or read(*a))
+    (tmp_path / "a.log").write_text("2026-09-01 10:00:00 WARN three\n  more\n" * 5)
+    assert ingest(spark, EventStore(spark, str(tmp_path / "store")), str(tmp_path / "a.log")).inserted == 5
+    assert len(scans) == 2
+
+
+@pytest.mark.parametrize("start", [0, 3, 8, 10, 14, 100])
+def test_start_offset(spark, tmp_path, start):
+    data = b"alpha\r\nbe\ngamma\n\nlast"
+    (tmp_path / "f").write_bytes(data)
+    want = [(start + at, n, text) for at, n, text in brute(data[start:])]
+    assert sorted(tuple(r)[1:] for r in read_lines(spark, str(tmp_path), start_offset=start).collect()) == want
+
+
+def test_regex_names_and_backreferences(spark):
+    source = Source("s", regex=r"(?P<a_b>\w)(?P<ab>\w)(?P=a_b) \(?P<(?P<user_id>\d+)", field_map={"level": "ab", "service": "user_id"})
+    rows = formats.parse_regex(lines_of(spark, "xyx (P<77", "xyz (P<77"), source).orderBy("line_number").collect()
+    assert [(r["severity"], r["service"], r["unstructured"]) for r in rows] == [("Y", "77", False), ("UNKNOWN", None, True)]
+    assert formats.parse_regex(lines_of(spark, "ab"), Source(regex=r"(a)(?(1)b|c)")).first()["unstructured"]  # Java has no conditionals
+
+
+def test_formats_can_be_registered(spark, tmp_path):
+    def parse(lines, header, source):
+        return formats.parse_text(lines.withColumn("text", F.concat(F.lit("2026-09-01 10:00:00 WARN "), F.substring("text", 3, 100))), source)
+
+    parsers.register("angle", parse, lambda lines: float(bool(lines) and all(x.startswith("> ") for x in lines)))
+    try:
+        (tmp_path / "a.log").write_text("> one\n> two\n")
+        store = EventStore(spark, str(tmp_path / "store"))
+        assert ingest(spark, store, str(tmp_path / "a.log")).files[0].detection.format == "angle"
+        assert sorted((r["severity"], r["message"]) for r in store.events().collect()) == [("WARN", "one"), ("WARN", "two")]
+    finally:
+        del parsers.PARSERS["angle"], SCORES["angle"]
+    with pytest.raises(ValueError):
+        list(inspect(spark, str(tmp_path), "angle"))
+
+
+def test_replaced_files_are_noticed(spark, tmp_path):
+    log, store = tmp_path / "a.jsonl", EventStore(spark, str(tmp_path / "store"))
+    log.write_text('{"message": "one"}\n')
+    ingest(spark, store, str(log))
+    with log.open("a") as f:
+        f.write('{"message": "two"}\n')
+    grown = ingest(spark, store, str(log))
+    assert (grown.replaced, grown.inserted) == ([], 1)
+    log.write_text('{"message": "new"}\n' * 3)
+    changed = ingest(spark, store, str(log), drop_replaced=True)
+    assert (changed.replaced, changed.inserted, store.events().count()) == ([str(log)], 3, 3)
+
+
+def test_source_table_and_compaction(spark, tmp_path):
+    log, store = tmp_path / "a.jsonl", EventStore(spark, str(tmp_path / "store"))
+    for k in range(4):
+        with log.open("a") as f:
+            f.write(json.dumps({"message": f"m{k}", "timestamp": "2026-09-01T10:00:00Z" if k % 2 else None}) + "\n")
+        ingest(spark, store, str(log))
+    row = store.get_source(str(log)).first()
+    assert (row["enabled"], row["inserted_events"], row["total_events"], row["source_id"]) == (True, 4, 10, store.source_id(str(log)))
+    store.set_enabled(str(log), False)
+    store.progress(str(log), parse_errors=2, last_byte_offset=7)
+    row = store.list_sources().first()
+    assert (row["enabled"], row["parse_errors"], row["last_byte_offset"], row["parser"]) == (False, 2, 7, "jsonl")
+    with pytest.raises(ValueError):
+        store.progress(str(log), nope=1)
+    before = sorted(map(tuple, store.events().collect()), key=str)
+    assert store.compact(1) == 2
+    assert sorted(map(tuple, store.events().collect()), key=str) == before
+    assert store.compact(1) == 0
+    assert ingest(spark, store, str(log)).inserted == 0
