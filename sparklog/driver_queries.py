@@ -1,70 +1,18 @@
-"""Queries over the driver's tables, and the same in DuckDB SQL. Its `events` are mapped once to the event columns."""
+"""Queries over the driver's tables, and the same in DuckDB SQL. Those that write files are in driver_ingest.py."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparklog import driver_ingest
 from sparklog import functions as fn
+from sparklog.driver_events import EV, NOW, ORDER, ROWS, Q, events, json_lines, sig
 from sparklog.operators import analytics, rules
 from sparklog.operators.query import frame
-from sparklog.operators.store import EventStore
-from sparklog.schema import ROW_COLUMNS
 from sparklog.sources import formats
-from sparklog.sources.ingest import ingest
-from sparklog.sources.lines import fold, primary
-from sparklog.streaming.tail import start_tail
-
-NOW = datetime(2024, 1, 20)
-Q = Callable[[SparkSession, str], DataFrame]
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's events as event rows; every seventh lacks ids and duration."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    gap = F.col("event_id") % 7 == 0
-    kind, user, number = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id").cast("string")
-    severity = F.when(kind == "error", "ERROR").when(kind == "signup", "WARN").when(kind == "purchase", "INFO").when(kind == "click", "DEBUG").otherwise("TRACE")
-    message = F.concat(kind, F.lit(" for user "), user, F.lit(" request "), number)
-    none = F.lit(None).cast("string")
-    columns = {
-        "event_id": F.concat(F.lit("e"), number), "source_id": F.lit(1).cast("long"), "source_alias": F.lit("events"), "source_path": F.lit("/data/events"), "line_number": F.col("event_id"),
-        "byte_offset": F.col("event_id") * 100, "raw_format": F.lit("json"), "timestamp": F.col("ts"), "ingested_at": F.col("ts"), "severity": severity, "message": message, "raw_text": message,
-        "service": F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string")), "logger": none, "host": F.concat(F.lit("host_"), (F.col("user_id") % 3).cast("string")), "process": none, "thread": none,
-        "trace_id": F.when(~gap, F.concat(F.lit("t"), user)), "span_id": none, "parent_span_id": none, "request_id": F.concat(F.lit("r"), number),
-        "session_id": F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("s"), user)), "duration_ms": F.when(~gap, F.col("value")), "status_code": F.when(kind == "error", 500).otherwise(200),
-        "exception_type": F.when(kind == "error", "EventError"), "attributes_json": F.col("props"),
-    }
-    return raw.select(*[c.alias(n) for n, c in columns.items()])
-
-
-EV = """WITH ev AS (SELECT 'e' || event_id AS event_id, CAST(1 AS BIGINT) AS source_id, 'events' AS source_alias, '/data/events' AS source_path, event_id AS line_number, event_id * 100 AS byte_offset,
-  'json' AS raw_format, ts AS timestamp, ts AS ingested_at, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'purchase' THEN 'INFO' WHEN 'click' THEN 'DEBUG' ELSE 'TRACE' END AS severity,
-  event_type || ' for user ' || user_id || ' request ' || event_id AS message, event_type || ' for user ' || user_id || ' request ' || event_id AS raw_text, 'svc-' || (user_id % 5) AS service,
-  CAST(NULL AS VARCHAR) AS logger, 'host_' || (user_id % 3) AS host, CAST(NULL AS VARCHAR) AS process, CAST(NULL AS VARCHAR) AS thread, CASE WHEN event_id % 7 <> 0 THEN 't' || user_id END AS trace_id,
-  CAST(NULL AS VARCHAR) AS span_id, CAST(NULL AS VARCHAR) AS parent_span_id, 'r' || event_id AS request_id, CASE WHEN event_id % 3 <> 0 THEN 's' || user_id END AS session_id,
-  CASE WHEN event_id % 7 <> 0 THEN value END AS duration_ms, CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status_code, CASE event_type WHEN 'error' THEN 'EventError' END AS exception_type,
-  props AS attributes_json FROM events) """
-ROWS = ", ".join(ROW_COLUMNS)
-ORDER = "ORDER BY timestamp ASC NULLS LAST, line_number ASC"
-SIG = (
-    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({}, ''),"
-    r" '\x1B\[[0-?]*[ -/]*[@-~]', '', 'g'), '\d{{4}}-\d{{2}}-\d{{2}}[ T]\d{{2}}:\d{{2}}:\d{{2}}(?:[.,]\d+)?(?:Z|[+-]\d{{2}}:?\d{{2}})?', '<ts>', 'g'),"
-    r" '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}', '<uuid>', 'g'), '0x[0-9a-fA-F]+', '<addr>', 'g'),"
-    r" '(^|[^0-9A-Fa-f\p{{L}}])[0-9A-Fa-f]{{16,}}([^0-9A-Fa-f\p{{L}}]|$)', '\1<hex>\2', 'g'), '(^|[^0-9A-Fa-f\p{{L}}])[0-9A-Fa-f]{{16,}}([^0-9A-Fa-f\p{{L}}]|$)', '\1<hex>\2', 'g'),"
-    r""" '\d+\.\d+', '<num>', 'g'), '(^|[^\p{{L}}\p{{N}}_])\p{{Nd}}{{2,}}', '\1<num>', 'g'), 'File "[^"]+", line \d+', 'File <path>', 'g'), '"[^"\n]{{6,}}"', '"<str>"', 'g'),"""
-    r" '[\p{{L}}\p{{N}}_\-]{{16,}}', '<id>', 'g'), '\s+', ' ', 'g'))"
-)
-
-
-def sig(column: str) -> str:
-    s = SIG.format(column)
-    return f"CASE WHEN length({s}) > 240 THEN substr({s}, 1, 240) || '...' ELSE {s} END"
 
 
 def _rows(where: str, order: str = ORDER, limit: int = 1000) -> str:
@@ -168,12 +116,6 @@ def epoch_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("event_id", (F.unix_micros(fn.epoch_timestamp(F.floor(micros / unit))) - F.floor(micros / unit) * unit).alias("off"))
 
 
-def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = events(spark, sf_dir)
-    text = F.to_json(F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"), F.col("severity").alias("level"), F.col("message").alias("msg"), F.col("trace_id").alias("traceId"), F.col("duration_ms").alias("latency_ms"), F.col("status_code").alias("code"), F.lit("x").alias("extra")))
-    return own.select("source_path", "byte_offset", "line_number", text.alias("text"))
-
-
 def jsonl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = formats.parse_json(json_lines(spark, sf_dir), formats.Source("a"))
     return found.select("line_number", "severity", "message", "trace_id", "duration_ms", "status_code", F.unix_micros("timestamp").alias("micros"), "attributes_json", "unstructured")
@@ -200,60 +142,6 @@ def regex_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.parse_regex(own, source).select("line_number", "severity", "service", "duration_ms", "unstructured")
 
 
-def multiline_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: each line a log line, those that begin with a letter from A to M a primary one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines = docs.select(F.col("doc_id").cast("string").alias("source_path"), F.posexplode(F.split("text", "\n")).alias("k", "text"))
-    stamped = F.when(F.col("text").rlike("^[A-M]"), F.concat(F.lit("2024-01-01 00:00:00 INFO "), F.col("text"))).otherwise(F.concat(F.lit("  "), F.col("text")))
-    lines = lines.select("source_path", F.col("k").cast("long").alias("byte_offset"), (F.col("k") + 1).cast("long").alias("line_number"), stamped.alias("text"))
-    heads = lines.filter(primary(F.col("text"))).groupBy("source_path").agg(F.sort_array(F.collect_list("byte_offset")).alias("heads"))
-    keyed = lines.join(heads, "source_path", "left").withColumn("event", F.coalesce(F.array_max(F.filter("heads", lambda h: h <= F.col("byte_offset"))), F.lit(-1)))
-    return fold(keyed).select("source_path", "byte_offset", "line_number", F.length("text").cast("long").alias("length"), F.md5("text").alias("md5"))
-
-
-def dedup_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored: two thirds of the events, in an event store; a batch of all, twice, leaves the other third."""
-    own = events(spark, sf_dir)
-    store = EventStore(spark, f"{_work_folder(spark)}/store")
-    store.insert(own.filter("line_number % 3 <> 0"))
-    return store.new_events(own.unionByName(own)).select("event_id", "line_number")
-
-
-def _work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared folder or a temporary one."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).removeprefix('file://')}/sparklog-{uuid.uuid4().hex}"
-
-
-def _log_file(spark: SparkSession, sf_dir: str) -> str:
-    """A new folder with the events as one file of JSON lines, below the shared folder or a temporary one."""
-    work = _work_folder(spark)
-    json_lines(spark, sf_dir).orderBy("line_number").select("text").coalesce(1).write.text(f"{work}/logs")
-    return work
-
-
-def _stored(store: EventStore) -> DataFrame:
-    return store.events().select("severity", "message", "trace_id", "duration_ms", "status_code", F.unix_micros("timestamp").alias("micros"), "line_number")
-
-
-def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events written as JSON lines, ingested twice into a store."""
-    work = _log_file(spark, sf_dir)
-    store = EventStore(spark, f"{work}/store")
-    for _ in range(2):
-        ingest(spark, store, f"{work}/logs", parser="jsonl")
-    return _stored(store)
-
-
-def tail_microbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same file read by the tail stream, which takes what is there and stops, twice from one checkpoint."""
-    work = _log_file(spark, sf_dir)
-    store = EventStore(spark, f"{work}/store")
-    for _ in range(2):
-        start_tail(spark, store, f"{work}/logs/part-*", f"{work}/checkpoint", parser="jsonl", interval=None).awaitTermination()
-    return _stored(store)
-
-
-_STORED = EV + "SELECT severity, message, trace_id, duration_ms, status_code, epoch_us(timestamp) AS micros, row_number() OVER (ORDER BY line_number) AS line_number FROM ev"
 _RATE = (
     EV + ", c AS (SELECT count(*) FILTER (timestamp >= TIMESTAMP '2024-01-19' AND timestamp < TIMESTAMP '2024-01-20') AS total_now, count(*) FILTER (timestamp >= TIMESTAMP '2024-01-19' AND timestamp < TIMESTAMP '2024-01-20' AND severity IN ('ERROR', 'FATAL', 'CRITICAL')) AS errors_now,"
     " count(*) FILTER (timestamp >= TIMESTAMP '2024-01-14' AND timestamp < TIMESTAMP '2024-01-19') AS total_base, count(*) FILTER (timestamp >= TIMESTAMP '2024-01-14' AND timestamp < TIMESTAMP '2024-01-19' AND severity IN ('ERROR', 'FATAL', 'CRITICAL')) AS errors_base FROM ev WHERE timestamp >= TIMESTAMP '2024-01-14' AND timestamp < TIMESTAMP '2024-01-20')"
@@ -297,13 +185,6 @@ OTHERS: dict[str, tuple[Q, str | None]] = {
     "csv_parse": (csv_parse, EV + "SELECT line_number, severity, message || ', \"done\"' AS message, service, status_code FROM ev"),
     "text_parse": (text_parse, EV + "SELECT line_number, severity, message, CASE WHEN line_number % 2 = 0 THEN service END AS service, epoch_us(timestamp) AS micros, false AS unstructured FROM ev"),
     "regex_parse": (regex_parse, EV + r"SELECT line_number, CASE WHEN regexp_matches(message, 'user [0-4]\d* request') THEN upper(split_part(message, ' ', 1)) ELSE 'UNKNOWN' END AS severity, CASE WHEN regexp_matches(message, 'user [0-4]\d* request') THEN split_part(message, ' ', 4) END AS service, CASE WHEN regexp_matches(message, 'user [0-4]\d* request') THEN CAST(line_number AS DOUBLE) END AS duration_ms, NOT regexp_matches(message, 'user [0-4]\d* request') AS unstructured FROM ev"),
-    "multiline_fold": (multiline_fold, r"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS source_path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
-      m AS (SELECT source_path, CAST(k AS BIGINT) AS k, regexp_matches(t, '^[A-M]') AS head, CASE WHEN regexp_matches(t, '^[A-M]') THEN '2024-01-01 00:00:00 INFO ' || t ELSE '  ' || t END AS t FROM l),
-      g AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY source_path ORDER BY k) AS e FROM m), j AS (SELECT source_path, min(k) AS byte_offset, min(k) + 1 AS line_number, string_agg(t, chr(10) ORDER BY k) AS t FROM g GROUP BY source_path, e)
-      SELECT source_path, byte_offset, line_number, length(t) AS length, md5(t) AS md5 FROM j"""),
-    "ingest_files": (ingest_files, _STORED),
-    "tail_microbatch": (tail_microbatch, _STORED),
-    "dedup_append": (dedup_append, f"{EV} SELECT event_id, line_number FROM ev WHERE line_number % 3 = 0"),
 }
 
 
@@ -313,8 +194,8 @@ ROUNDED = {"p50_p95_by": ("p50_duration_ms", "p"), "stats_sort_alias_limit": ("p
 
 def queries() -> dict[str, Q]:
     piped = {name: (lambda s, d, name=name, text=text: _rounded(frame(events(s, d), text), *ROUNDED.get(name, ()))) for name, (text, _) in PIPED.items()}
-    return piped | {name: f for name, (f, _) in OTHERS.items()}
+    return piped | {name: f for name, (f, _) in (OTHERS | driver_ingest.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in (PIPED | OTHERS).items() if sql}
+    return {name: sql for name, (_, sql) in (PIPED | OTHERS | driver_ingest.QUERIES).items() if sql}

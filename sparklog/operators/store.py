@@ -117,6 +117,10 @@ class EventStore:
     def record_run(self, **run: Any) -> None:
         self.record_runs([run])
 
+    def has_runs(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs")
+        return bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path))
+
     def sources(self) -> DataFrame:
         """A row a source: counters summed over runs since it was last deleted, latest settings, first and last event."""
         runs = self._read("runs", RUN_SCHEMA)

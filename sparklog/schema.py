@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Fixed values of this module: names and types of columns, names in queries, labels, severities.
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType(), False),
     T.StructField("source_id", T.LongType(), False),

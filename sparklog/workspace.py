@@ -12,6 +12,7 @@ from typing import Any
 
 from sparklog.operators.rules import RuleConfig
 
+# The version, field names and defaults of the file format.
 VERSION = 2
 
 

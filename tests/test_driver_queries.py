@@ -1,11 +1,12 @@
 import datetime as dt
+import os
 
 import duckdb
 import pytest
 
-from sparklog import driver_queries
+from sparklog import driver_ingest, driver_queries
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("SPARKLOG_TEST_SF", "/root/testdata/sf0.001")
 
 
 def plain(value):
@@ -33,8 +34,8 @@ def test_matches_sql(spark, duck, name):
 
 def test_dedup_append_asks_the_store(spark, monkeypatch):
     asked = []
-    new_events = driver_queries.EventStore.new_events
-    monkeypatch.setattr(driver_queries.EventStore, "new_events", lambda self, events: asked.append(self.events().count()) or new_events(self, events))
-    found = driver_queries.dedup_append(spark, SF).count()
+    new_events = driver_ingest.EventStore.new_events
+    monkeypatch.setattr(driver_ingest.EventStore, "new_events", lambda self, events: asked.append(self.events().count()) or new_events(self, events))
+    found = driver_ingest.dedup_append(spark, SF).count()
     n = driver_queries.events(spark, SF).count()
     assert asked == [0, n - found] and 0 < found < n

@@ -53,8 +53,30 @@ def test_demo_and_cli(spark, tmp_path, capsys):
     assert cli.main(["--json", "query", folder, "| stats count() by service | sort service"]) == 0
     found = json.loads(capsys.readouterr().out)
     assert found["rows"] == [[s, 40] for s in sorted(demo.SERVICES)]
-    assert cli.main(["query", folder, "nope = 1"]) == 2
-    assert cli.main(["inspect", folder]) == 0
-    assert cli.main(["inspect", str(tmp_path / "none")]) == 3
+    assert cli.main(["query", folder, "nope = 1"]) == 3
+    capsys.readouterr()
+    assert cli.main(["--json", "inspect", folder, "--limit", "7"]) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert (found["file_count"], found["events"], len(found["sample"]), found["parser"]) == (5, 40, 7, "jsonl")
+    assert sum(found["severity"].values()) == 40
+    own = ["--parser", "custom_regex", "--regex", r'"level":"(?P<l>\w+)"', "--field", "level=l"]
+    assert cli.main(["--json", "query", folder, "level != UNKNOWN | stats count()", *own]) == 0
+    assert json.loads(capsys.readouterr().out)["rows"] == [[200]]
+    assert cli.main(["report", folder]) == 0
+    assert cli.main(["inspect", str(tmp_path / "none")]) == 2
     assert cli.main(["validate-query", "level = ERROR"]) == 0
+    assert cli.main(["validate-query", "level ="]) == 1
     assert cli.main(["version"]) == 0
+    assert cli.main(["launch"]) == 1
+    path = tmp_path / "w.json"
+    workspace.save_workspace(workspace.new_workspace("mine").with_query("q", "level = ERROR"), path)
+    capsys.readouterr()
+    assert cli.main(["--json", "workspace-info", str(path)]) == 0
+    assert json.loads(capsys.readouterr().out)["saved_queries"][0]["query"] == "level = ERROR"
+    path.write_text("[]")
+    assert cli.main(["workspace-info", str(path)]) == 2
+
+
+def test_demo_without_incidents(spark):
+    assert demo.demo_events(spark, 1000, incidents=False).filter("exception_type = 'CircuitOpenError'").count() == 0
+    assert demo.demo_events(spark, 1000).filter("exception_type = 'CircuitOpenError'").count() == 1
