@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+
+@lru_cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="sparklog-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="sparklog-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _local_dir(spark.sparkContext.applicationId)
     return base.rstrip("/")
 
 
@@ -61,14 +67,3 @@ def str_texts(texts: pa.Array) -> list[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def struct_fields(df: DataFrame, struct: str, keep: list[Column | str]) -> DataFrame:
-    """keep columns, then the fields of one struct column."""
-    return df.select(*keep, f"`{struct}`.*")
-
-
-def text_bytes_total(df: DataFrame, text_col: str) -> tuple[int, int]:
-    """Rows and UTF-8 bytes of a text column, by one aggregate."""
-    row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()
-    return int(row[0]), int(row[1])

@@ -10,21 +10,24 @@ m - distance blocks. Fingerprints are grouped by choice and value, and each grou
 
 * two members: compared in the JVM;
 * up to `most` members: one task walks the group and returns a spanning forest of its verified links, not all pairs;
-* more: members emit every value within half the distance in the bits that the group leaves open; two members are
-  linked exactly if they share such a midpoint, so each links to the least member at its midpoints.
+* more: members emit every value within half the distance, rounded up, in the bits that the group leaves open; two
+  members are linked exactly if they share such a midpoint that lies within half the distance, rounded down, of one of
+  them, so all at a midpoint link to the least of those that are that near.
 
 m grows with the number of fingerprints so that groups of unrelated ones stay small; any m gives the same links.
 Components come from alternating large-star and small-star rounds over the link table, each written to the shared
 folder; nothing of it goes to the driver. Copies are never paired: they share a fingerprint.
 
 Null and empty texts link to each other (fingerprint 0). Rows with a null id get a fingerprint and the component of
-their group, but never name one unless the whole group has null ids (then null). Repeated ids count as one document.
-An empty table gives an empty result. Other columns are ignored.
+their group, but never name one unless the whole group has null ids (then null). Rows that share an id are one document:
+their fingerprints are linked. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -133,22 +136,15 @@ def links(fps: DataFrame, *, distance: int = 4, most: int = 16384, blocks: int |
 
 def _by_midpoints(members: DataFrame, masks: list[int], distance: int) -> DataFrame:
     """Links within groups of any size, in rows linear in their members (c, v, fp)."""
-    parts = []
+    parts, half = [], distance // 2
     for c, mask in enumerate(masks):
         bits = [1 << i for i in range(64) if not mask >> i & 1]
-        flips = [_signed(sum(x)) for r in range(distance // 2 + 1) for x in combinations(bits, r)]
-        own = members.filter(F.col("c") == c)
-        if distance % 2:  # midpoints of an odd distance lie half a bit further from one end
-            wide = flips + [_signed(sum(x)) for x in combinations(bits, distance // 2 + 1)]
-        else:
-            wide = flips
-        parts.append(own.select("c", "v", "fp", F.explode(F.array(*[F.lit(f) for f in wide])).alias("flip")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    points = out.select("c", "v", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
-    least = points.groupBy("c", "v", "mid").agg(F.min("fp").alias("a"))
-    return points.join(least, ["c", "v", "mid"]).filter("fp <> a").filter(_near(F.col("a"), F.col("fp"), distance)).select("a", F.col("fp").alias("b")).distinct()
+        flips = [{"flip": _signed(sum(x)), "moved": r} for r in range(distance - half + 1) for x in combinations(bits, r)]
+        moves = F.explode(F.from_json(F.lit(json.dumps(flips)), "array<struct<flip:long,moved:int>>"))  # folded to one literal
+        parts.append(members.filter(F.col("c") == c).select("c", "v", "fp", moves.alias("move")))
+    points = reduce(DataFrame.unionByName, parts).select("c", "v", "fp", F.col("fp").bitwiseXOR(F.col("move.flip")).alias("mid"), F.col("move.moved").alias("moved"))
+    least = points.filter(F.col("moved") <= half).groupBy("c", "v", "mid").agg(F.min("fp").alias("a"))
+    return points.join(least, ["c", "v", "mid"]).filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def _salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str) -> DataFrame:
@@ -186,30 +182,44 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, most: int = 16384, blocks: int | None = None) -> DataFrame:
-    """doc_id, fp, component_id: the least doc_id reachable by links, a document's own included."""
+def _same_ids(fps: DataFrame) -> DataFrame:
+    """Links a, b between the fingerprints of an id that has several."""
+    several = fps.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z")
+    return _salted(fps, several, "doc_id", "fp", "inner").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, most: int = 16384, blocks: int | None = None, hot: int = 1000) -> DataFrame:
+    """doc_id, fp, component_id: the least doc_id reachable by links, a document's own included.
+
+    Fingerprints that more than a `hot`-th of all rows have (fewer than `hot` of them) get their component by a broadcast
+    of these few rows, the others by a join, so no key of it has more rows than that.
+    """
     fps, _ = common.written(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fps")
-    nodes, nodes_at = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    nodes, nodes_at = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "nodes")
     found = links(nodes.select("fp"), distance=distance, most=most, blocks=blocks)
-    stars = components(found).select(F.col("node").alias("fp"), "root")
-    named = nodes.join(stars, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    stars = components(found.unionByName(_same_ids(fps))).select(F.col("node").alias("fp"), "root")
+    named = nodes.join(stars, "fp", "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    named = _salted(named, least, "root", "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    named = _salted(named, least, "root", "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "rows")
     named, _ = common.written(named, "named")
     common.drop_path(docs.sparkSession, nodes_at)
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    most_rows = (named.agg(F.sum("rows")).first()[0] or 0) / hot
+    few = F.broadcast(named.filter(F.col("rows") > most_rows).drop("rows"))  # fewer than `hot` rows
+    cold = fps.join(few.select("fp"), "fp", "left_anti").join(named.filter(F.col("rows") <= most_rows).drop("rows"), "fp")
+    return fps.join(few, "fp").unionByName(cold).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents whose component has a smaller id; of rows that share an id the least text stays."""
+    """docs without the documents whose component has a smaller id; of rows that share an id the least text stays (of equal texts the least row as JSON)."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     gone = common.free_name(docs, "gone")
     dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    kept = docs.join(dropped, F.col(id_col).cast("long") == F.col(gone), "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").take(1):
-        from pyspark.sql.window import Window
-
-        rank = common.free_name(docs, "rank")
-        order = Window.partitionBy(F.col(id_col)).orderBy(F.col(text_col).asc_nulls_first())
-        kept = kept.withColumn(rank, F.row_number().over(order)).filter(F.col(rank).eqNullSafe(1) | F.col(id_col).isNull()).drop(rank)
-    return kept
+    own = F.col(f"`{id_col}`").cast("long")
+    kept = docs.join(dropped, own == F.col(gone), "left_anti")
+    again = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(gone)).count().filter("count > 1").select(gone)
+    if not again.take(1):
+        return kept
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row, order = F.struct(*columns), F.struct(F.col(f"`{text_col}`").alias("t"), F.to_json(F.struct(*columns)).alias("j"))
+    several = kept.join(again, own == F.col(gone), "left_semi").groupBy(own.alias(gone)).agg(F.min_by(row, order).alias("row")).select("row.*")
+    return kept.join(again, own == F.col(gone), "left_anti").unionByName(several)

@@ -89,3 +89,55 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(no_documents(spark)).count() == simhash.deduplicated(no_documents(spark)).count() == 0
     twice = spark.createDataFrame([(1, "one two three four five"), (1, "one two three four five"), (2, "x")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.deduplicated(twice).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize(("distance", "most"), [(1, 2), (2, 2), (3, 2), (3, 16384), (5, 16384)])
+def test_links_of_any_distance(spark, distance, most):
+    rnd = random.Random(3)
+    u = 0x0123456789ABCDEF
+    prints = {u, u ^ 7, u ^ 1 << 10, u ^ 7 ^ 1 << 11} | {rnd.getrandbits(64) for _ in range(20)}
+    for _ in range(3):
+        x = rnd.getrandbits(64)
+        for _ in range(25):
+            x ^= sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, distance + 1)))
+            prints.add(x)
+    ordered = sorted(prints, key=signed)
+    place = {signed(x): i for i, x in enumerate(ordered)}
+    fps = spark.createDataFrame([(signed(x),) for x in ordered], "fp long")
+    found = simhash.links(fps, distance=distance, most=most)
+    assert all((ordered[place[r["a"]]] ^ ordered[place[r["b"]]]).bit_count() <= distance for r in found.collect())
+    roots = {r["node"]: r["root"] for r in simhash.components(found).collect()}
+    assert {i: place[roots.get(signed(x), signed(x))] for i, x in enumerate(ordered)} == plain_components(dict(enumerate(ordered)), distance)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(3, "a one two three four"), (5, "a one two three four"), (5, "bb six seven eight nine"), (7, "bb six seven eight nine"), (None, "bb six seven eight nine"), (9, "c ten"), (None, "d eleven")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1, 1000):
+        found = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(df, hot=hot).collect())
+        assert found == [(0, 0), (0, 3), (3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
+    kept = simhash.deduplicated(df)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "bb six seven eight nine"), (0, "d eleven"), (3, "a one two three four"), (9, "c ten")]
+
+
+def test_least_text_of_an_id_stays(spark):
+    rows = [(1, "b", "x", {"k": 1}), (1, None, "y", None), (1, None, "a", {"k": 2}), (2, "q", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string, m map<string,int>")
+    assert sorted((r["doc_id"], r["text"], r["gone"]) for r in simhash.deduplicated(df).collect()) == [(1, None, "a"), (2, "q", "x")]
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    held = spark.conf.get("spark.checkpoint.dir")
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        simhash.common.shared_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    assert simhash.common.shared_dir(Session) == simhash.common.shared_dir(Session)
+    assert spark.conf.get("spark.checkpoint.dir") == held
