@@ -5,16 +5,19 @@ and the matches themselves, summed up.
 
 Kinds `assign`, `access` and `hex` are fixed patterns (PATTERNS). Kind `random` is the method: runs of 20 or more
 base-64 characters, with a letter and a digit, that touch none of the fixed spans. Each gets the smallest encoding that
-fits (hex, base 32, 36, 62, 64) and under "its characters are independent and uniform over that alphabet"
+fits (hex, base 32, 36, 62, 64) and is put to a battery of tests of "its characters are independent and uniform over
+that alphabet":
 
 * chi-squared over equal ranges of the alphabet, as many as give 5 expected characters a range (Wilson-Hilferty),
 * Wald-Wolfowitz runs above and below the alphabet's middle,
-* lag-1 serial correlation,
+* lag-1 serial correlation.
 
-and must not be rejected (Bonferroni over the three at `reject`). Evidence that it is random rather than written is the
-likelihood ratio of that model against one of written tokens (characters mostly stay in their class, lower, upper,
-digit or other); such a ratio is an e-value, it grows with the length, and the Benjamini-Hochberg procedure for
-e-values over a document's tokens keeps the expected share of false reports under `fdr`.
+Fisher's method combines the three p-values. The likelihood ratio of that model against one of written tokens (characters
+mostly stay in their class, lower, upper, digit or other) grows with the length; times the battery's p-value, which is 1
+at most, it still has a mean of 1 at most over written tokens, so it is an e-value against "written" in which both the
+length and all three tests count. The Benjamini-Hochberg procedure for e-values over a document's tokens keeps the
+expected share of false reports under `fdr`. A token that a single test rejects (Bonferroni over the three at `reject`)
+is not reported whatever its length.
 
 Null and empty texts have no spans. Repeated rows get equal results. Other columns pass through; a column of the name
 `out` is replaced.
@@ -36,7 +39,9 @@ PATTERNS = {
     "hex": r"[0-9a-f]{24,}",
 }
 KINDS = [*PATTERNS, "random"]
-TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A noncharacter in place of those of `assign` spans. Runs go on through it, so that what touches such a span is seen to.
+MASK = "\uffff"
+TOKEN = rf"[A-Za-z0-9+/_{MASK}-]{{20,}}={{0,2}}"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Pattern that a token must fit, and the alphabet; the first that fits counts.
 ENCODINGS = [("^[0-9a-f]+$", DIGITS + "abcdef"), ("^[0-9A-F]+$", DIGITS + "ABCDEF"), ("^[A-Z2-7]+$", UPPER + "234567"), ("^[a-z0-9]+$", DIGITS + LOWER), ("^[A-Z0-9]+$", DIGITS + UPPER), ("^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS), ("^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"), ("", UPPER + LOWER + DIGITS + "-_+/")]
@@ -69,22 +74,26 @@ def _tail(z: Column) -> Column:
     return F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series
 
 
-def _places(df: DataFrame, text: str, kind: str, pattern: str, group: int = 0) -> DataFrame:
-    """Add a column `kind`: array of struct(start, end, token) of the pattern's matches; token is the given group."""
-    regex = F.lit(pattern)
-    empty = F.array().cast("array<string>")
+def _places(df: DataFrame, text: str, kind: str, pattern: str, group: int = 0, least: int = 0, masked: str | None = None) -> DataFrame:
+    """Add a column `kind`: array of struct(start, end, token) of the pattern's matches with a token (the given group) of
+    `least` characters; masked: a column to add, the text with each character of these matches replaced by MASK."""
+    regex, empty = F.lit(pattern), F.array().cast("array<string>")
+    cut, token, length, end = (common.free_name(df, f"{kind}_{x}") for x in ("cut", "token", "len", "end"))
     df = df.withColumn(kind, F.regexp_extract_all(F.col(text), regex, F.lit(0)))
     found = F.size(kind) > 0
-    df = df.withColumn(f"{kind}_cut", F.when(found, F.split(F.col(text), pattern, -1)).otherwise(empty))
-    df = df.withColumn(f"{kind}_token", F.when(found, F.regexp_extract_all(F.col(text), regex, F.lit(group))).otherwise(empty) if group else F.col(kind))
-    lengths = F.zip_with(F.slice(f"{kind}_cut", F.lit(1), F.size(kind)), F.col(kind), lambda a, b: (F.char_length(a) + F.char_length(b)).cast("long"))
-    df = df.withColumn(f"{kind}_len", lengths)
-    df = df.withColumn(f"{kind}_end", running_sum(F.col(f"{kind}_len")))
+    df = df.withColumn(cut, F.when(found, F.split(F.col(text), pattern, -1)).otherwise(empty))
+    df = df.withColumn(token, F.when(found, F.regexp_extract_all(F.col(text), regex, F.lit(group))).otherwise(empty) if group else F.col(kind))
+    if masked:
+        kept = F.zip_with(F.col(kind), F.col(token), lambda m, t: F.when(F.char_length(t) >= least, F.repeat(F.lit(MASK), F.char_length(m))).otherwise(m))
+        pieces = F.zip_with(F.col(cut), kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))  # after the last match a piece follows
+        df = df.withColumn(masked, F.when(found, F.array_join(pieces, "")).otherwise(F.col(text)))
+    df = df.withColumn(length, F.zip_with(F.slice(cut, F.lit(1), F.size(kind)), F.col(kind), lambda a, b: (F.char_length(a) + F.char_length(b)).cast("long")))
+    df = df.withColumn(end, running_sum(F.col(length)))
     span = F.transform(
-        F.arrays_zip(F.col(f"{kind}_end").alias("end"), F.col(kind).alias("match"), F.col(f"{kind}_token").alias("token")),
+        F.arrays_zip(F.col(end).alias("end"), F.col(kind).alias("match"), F.col(token).alias("token")),
         lambda x: F.struct((x["end"] - F.char_length(x["match"])).alias("start"), x["end"].alias("end"), x["token"].alias("token")),
     )
-    return df.withColumn(kind, span).drop(f"{kind}_cut", f"{kind}_token", f"{kind}_len", f"{kind}_end")
+    return df.withColumn(kind, F.filter(span, lambda x: F.char_length(x["token"]) >= least)).drop(cut, token, length, end)
 
 
 def _with_encoding(x: Column) -> Column:
@@ -144,7 +153,13 @@ def _with_tests(x: Column) -> Column:
     square = _sum(F.transform(x["x"], lambda v: (v - mean) * (v - mean)))
     product = _sum(F.zip_with(F.slice(x["x"], F.lit(1), x["n"] - 1), F.slice(x["x"], F.lit(2), x["n"] - 1), lambda a, b: (a - mean) * (b - mean)))
     serial = F.when(square > 0, 2 * _tail(F.abs(product / F.greatest(square, F.lit(1e-9)) * F.sqrt(n) + 1 / F.sqrt(n)))).otherwise(0.0)
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.least(F.lit(1.0), 3 * F.least(chi, runs, serial)).alias("p_random"), F.least(F.lit(1.0), F.exp(-x["log_e"])).alias("p_written"))
+    # Fisher: minus twice the sum of the logarithms has a chi-squared distribution of 6 degrees of freedom.
+    half = -(F.ln(F.greatest(chi, F.lit(1e-99))) + F.ln(F.greatest(runs, F.lit(1e-99))) + F.ln(F.greatest(serial, F.lit(1e-99))))
+    battery = F.exp(-half) * (1 + half + half * half / 2)
+    return F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), F.least(F.lit(1.0), 3 * F.least(chi, runs, serial)).alias("p_random"), F.least(F.lit(1.0), battery).alias("p_battery"),
+        F.least(F.lit(1.0), F.exp(-x["log_e"]) / F.greatest(F.least(F.lit(1.0), battery), F.lit(1e-99))).alias("p_written"),
+    )
 
 
 def _as_kind(found: Column, rank: int) -> Column:
@@ -154,18 +169,17 @@ def _as_kind(found: Column, rank: int) -> Column:
 def secrets(docs: DataFrame, *, text_col: str = "text", out: str = "secrets", fdr: float = 0.01, reject: float = 0.001) -> DataFrame:
     """docs with a column `out`: array of struct(start, rank, kind, end), by start and then kind as in KINDS."""
     work = docs.withColumn(out, F.lit(None)) if out in docs.columns else docs
-    text = common.free_name(docs, "scanned_text")
+    text, masked = common.free_name(docs, "scanned_text"), common.free_name(docs, "masked_text")
     held = {kind: common.free_name(docs, f"found_{kind}") for kind in KINDS}
     df = work.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
-    for kind, pattern in PATTERNS.items():
-        df = _places(df, text, held[kind], pattern, 2 if kind == "assign" else 0)
-    df = df.withColumn(held["assign"], F.filter(held["assign"], lambda x: F.char_length(x["token"]) >= 6))
-    df = _places(df, text, held["random"], TOKEN)
-    base = common.free_name(docs, "found_base")
-    df = df.withColumn(base, F.concat(*[F.transform(held[k], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in PATTERNS]))
+    df = _places(df, text, held["assign"], PATTERNS["assign"], 2, 6, masked)
+    df = _places(df, text, held["access"], PATTERNS["access"])
+    df = _places(df, text, held["hex"], PATTERNS["hex"])
+    df = _places(df, masked, held["random"], TOKEN)
     r = held["random"]
-    mixed = F.filter(r, lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    df = df.withColumn(r, mixed)
+    # Runs are maximal, so an access or hex span that touches one lies inside it.
+    fixed = "|".join([MASK, PATTERNS["access"], PATTERNS["hex"]])
+    df = df.withColumn(r, F.filter(r, lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & ~x["token"].rlike(fixed)))
     for step in (_with_encoding, _with_numbers, _with_moments, _with_tests):
         df = df.withColumn(r, F.transform(r, step))
     sorted_p = common.free_name(docs, "sorted_p")
@@ -174,7 +188,7 @@ def secrets(docs: DataFrame, *, text_col: str = "text", out: str = "secrets", fd
     df = df.withColumn(sorted_p, F.coalesce(F.array_max(good), F.lit(-1.0)))
     df = df.withColumn(r, F.filter(r, lambda x: (x["p_written"] <= F.col(sorted_p)) & (x["p_random"] >= reject)))
     spans = [_as_kind(F.col(held[kind]), k) for k, kind in enumerate(KINDS)]
-    return df.withColumn(out, F.sort_array(F.concat(*spans))).drop(text, base, sorted_p, *held.values())
+    return df.withColumn(out, F.sort_array(F.concat(*spans))).drop(text, masked, sorted_p, *held.values())
 
 
 def joined(spans: Column) -> Column:
