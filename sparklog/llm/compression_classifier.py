@@ -1,17 +1,17 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad text, and a calibrated score.
 
 A text is cut into pieces of `PIECE` bytes, and each is compressed alone with either dictionary, so that the
-dictionary and not the text's own past decides. The score is a logistic function of the normalised difference of the
-two sizes, of the smaller size per byte and of the size per byte without a dictionary (text that repeats itself is
-small with any dictionary), each with its square. It is fitted on labelled texts that no dictionary has seen, weighted
-so that classes count as often as among all labels used for learning.
+dictionary and not the text's own past decides. The difference of the two sizes, normalised by the text's bytes, is all
+that a score sees: a logistic function of it, fitted on labelled texts that no dictionary has seen, weighted so that
+classes count as often as among all labels used for learning.
 
 Learning uses at most `per_class` labelled documents of each class (the least by a hash of the id) of at most
-`longest` bytes each; this bound is the only thing that sees a part of the data. Scoring reads every whole text, needs
-no shuffle and broadcasts two dictionaries of `DICTIONARY` bytes.
+`longest` bytes each, and of these only as many as have `most_bytes` together, which is what may come to the driver; this
+bound is the only thing that sees a part of the data. Scoring reads every whole text, needs no shuffle and ships two
+dictionaries of `DICTIONARY` bytes.
 
 Null and empty texts are scored as empty; labels other than 0 and 1, and null ones, are ignored; a document with more
-than one label counts once for each. With fewer than `least` texts of a class there is no classifier, and every score
+than one label counts once for each, one with more than one row by its least text. With fewer than `least` texts of a class there is no classifier, and every score
 is the share of good labels, or 0.5 without any. Other columns pass through; a column of the name `out` is replaced.
 """
 
@@ -27,20 +27,19 @@ from pyspark.sql import functions as F
 
 from sparklog.llm import common
 
-PIECE, DICTIONARY, LEVEL = 512, 65536, 3
+PIECE, DICTIONARY, LEVEL = 256, 65536, 3
 
 
 class Model(NamedTuple):
     good: bytes
     bad: bytes
-    mean: list[float]
-    scale: list[float]
-    weights: list[float]
+    slope: float
+    offset: float
     prior: float
 
 
 class Sizes:
-    """Compressed sizes of a text under both dictionaries and none, as features."""
+    """Compressed sizes of a text under both dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard
@@ -48,21 +47,14 @@ class Sizes:
         def compressor(held: bytes):
             dictionary = zstandard.ZstdCompressionDict(held)
             dictionary.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False)
+            return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False).compress
 
-        self.good, self.bad, self.plain = compressor(good), compressor(bad), zstandard.ZstdCompressor(level=LEVEL)
+        self.good, self.bad = compressor(good), compressor(bad)
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
-        pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)] or [b""]
-        good = sum(len(self.good.compress(p)) for p in pieces) + 1
-        bad = sum(len(self.bad.compress(p)) for p in pieces) + 1
-        size = len(text) + 16
-        return (bad - good) / max(good, bad), min(good, bad) / size, len(self.plain.compress(text)) / size
-
-
-def _design(features: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.clip((features - mean) / scale, -5, 5)
-    return np.column_stack((z, z * z, np.ones(len(z))))
+    def difference(self, text: bytes) -> float:
+        """How many bytes a byte of the text takes less with the good dictionary than with the bad one."""
+        pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
+        return sum(len(self.bad(p)) - len(self.good(p)) for p in pieces) / (len(text) + 16)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -91,7 +83,7 @@ def fit(good: list[bytes], bad: list[bytes], share_good: float, least: int = 20)
     import zstandard
 
     if min(len(good), len(bad)) < least:
-        return Model(b"", b"", [], [], [], share_good)
+        return Model(b"", b"", 0.0, 0.0, share_good)
 
     def dictionary(texts: list[bytes]) -> bytes:
         pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
@@ -101,17 +93,17 @@ def fit(good: list[bytes], bad: list[bytes], share_good: float, least: int = 20)
     try:
         held = dictionary(good[::2]), dictionary(bad[::2])
     except zstandard.ZstdError:  # too little text to build a dictionary from
-        return Model(b"", b"", [], [], [], share_good)
+        return Model(b"", b"", 0.0, 0.0, share_good)
     sizes = Sizes(*held)
-    features = np.array([sizes.features(t) for t in good[1::2] + bad[1::2]])
+    found = np.array([sizes.difference(t) for t in good[1::2] + bad[1::2]])
     y = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
     weight = np.where(y == 1, share_good / y.sum(), (1 - share_good) / (len(y) - y.sum())) * len(y)
-    mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-9
-    weights = _logistic(_design(features, mean, scale), y, weight)
-    return Model(*held, mean.tolist(), scale.tolist(), weights.tolist(), share_good)
+    scale = float(found.std()) + 1e-9
+    slope, offset = _logistic(np.column_stack((found / scale, np.ones(len(found)))), y, weight)
+    return Model(*held, float(slope) / scale, float(offset), share_good)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, longest: int = 1 << 20, least: int = 20) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, longest: int = 1 << 20, most_bytes: int = 64 << 20, least: int = 20) -> Model:
     """A model from labelled rows; labels has the rows to learn from only."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     counts = {int(r[0]): r[1] for r in own.groupBy("label").count().collect()}
@@ -120,7 +112,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     some = [own.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 x per_class rows
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.octet_length("text") <= longest)
-    rows = sorted((order, int(label), text.encode()) for order, label, text in texts.join(chosen, "id").select(F.xxhash64("id"), "label", "text").collect())
+    one = texts.join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    sizes = sorted(tuple(r) for r in one.select(F.xxhash64("id"), "id", F.col("label").cast("int"), F.octet_length("text")).collect())  # 2 x per_class rows
+    held, room = [], {0: most_bytes // 2, 1: most_bytes // 2}
+    for _, id_, label, size in sizes:
+        room[label] -= size
+        if room[label] >= 0:
+            held.append((id_, label))
+    if not held:
+        return fit([], [], counts[1] / sum(counts.values()))
+    few = docs.sparkSession.createDataFrame(held, one.select("id", F.col("label").cast("int").alias("label")).schema)
+    rows = sorted((order, int(label), text.encode()) for order, label, text in one.join(F.broadcast(few), ["id", "label"]).select(F.xxhash64("id"), "label", "text").collect())
     by = [[t for _, label, t in rows if label == k] for k in (0, 1)]
     return fit(by[1], by[0], counts[1] / sum(counts.values()), least)
 
@@ -130,13 +132,12 @@ def score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        sizes = Sizes(model.good, model.bad) if model.weights else None
+        sizes = Sizes(model.good, model.bad) if model.good else None
         for texts in batches:
-            if sizes is None or not len(texts):
+            if sizes is None:
                 yield pa.array([model.prior] * len(texts), pa.float64())
                 continue
-            features = np.array([sizes.features(t) for t in common.byte_texts(texts)])
-            z = _design(features, np.array(model.mean), np.array(model.scale)) @ np.array(model.weights)
+            z = model.slope * np.array([sizes.difference(t) for t in common.byte_texts(texts)], float) + model.offset
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     return scored(text)
