@@ -3,12 +3,13 @@
 A transcript is the rows of a conversation in order of turn. Each text is cut before lines that begin with a speaker
 marker (MARKERS); such a segment's features are its marker, length, number of lines, last character and whether it
 opens a row. Roles are hidden states; features are emitted independently given the role. The model is counted from
-rows with known roles (add-one smoothing): a table of roles by features, and of roles by roles that follow. A marker
+rows with known roles (add-one smoothing): a table of roles by features, and of roles by roles that follow at once (what
+follows a segment of unknown role, or comes before it, is not counted, nor is it a conversation's first). A marker
 counts beforehand as a sixth of its role's segments and other roles' markers as a hundredth of one, since many transcripts with known roles have no markers.
 
 Viterbi is exact for conversations of any size. Segments are dealt out by ranges of (conversation, turn, segment), so
-that a long conversation lies in consecutive tasks; each task cuts its rows into chunks of `chunk` segments and sums
-up each in a max-plus matrix (best score from the role before the chunk to the role at its end). Only conversations at
+that a long conversation lies in consecutive tasks; each task cuts its rows into chunks of `chunk` segments or CHUNK_BYTES
+(more only for a longer segment) and sums up each in a max-plus matrix (best score from the role before the chunk to the role at its end). Only conversations at
 the edges of a task can go on in the next one: their products, two a task at most, go to the driver, which finds the
 roles at all edges. With the roles before and at the end of a chunk, its segments are decoded alone.
 
@@ -38,6 +39,7 @@ MARKERS = {"system": ("system", "instruction", "instructions"), "user": ("user",
 NAMES = "|".join(sorted((n for names in MARKERS.values() for n in names), key=lambda n: (-len(n), n)))
 MARKER = rf"^[ \t]*(?:<\||\[|\*\*|###?[ ])?({NAMES})(?:\|>|\]|\*\*)?[ \t]*[:>][ \t]*"
 FEATURES = {"marker": 4, "length": 16, "lines": 5, "last": 4, "opens": 2}
+CHUNK_BYTES = 1 << 20
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 CHUNK = "part int, run int, chunk int, starts boolean, ends boolean, conv_id long, turns array<long>, segments array<int>, obs array<int>, texts array<string>, matrix array<double>"
 
@@ -119,10 +121,9 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
 def learn(known: DataFrame) -> Model:
     """A model from segments with roles; every table is roles by a fixed size."""
-    known = known.filter(F.col("role").isin(*ROLES))
     number = {r: k for k, r in enumerate(ROLES)}
     emitted = {f: np.zeros((len(ROLES), size)) for f, size in FEATURES.items()}
-    for role, obs, n in known.groupBy("role", "obs").count().collect():
+    for role, obs, n in known.filter(F.col("role").isin(*ROLES)).groupBy("role", "obs").count().collect():
         for f, v in zip(FEATURES, parts_of(obs), strict=True):
             emitted[f][number[role], v] += n
     size = len(ROLES)
@@ -131,29 +132,35 @@ def learn(known: DataFrame) -> Model:
         emitted["marker"][r, [k for k in range(1, size + 1) if k != r + 1]] -= 0.99  # beside the 1 of smoothing
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, edge, before = np.zeros((size + 1) * size), None, None
+        counts, edge, before = np.zeros((size + 1, size)), None, None
         for batch in batches:
             for conv, role in zip(batch.column(0).to_pylist(), map(number.get, batch.column(1).to_pylist()), strict=True):
-                if before is None:
-                    edge = (conv, role)
-                else:
-                    counts[(before[1] + 1 if before[0] == conv else 0) * size + role] += 1
+                edge = edge or (conv, role)
+                if before is not None:
+                    add(counts, before, (conv, role))
                 before = (conv, role)
         if before:
-            row = {"part": TaskContext.get().partitionId(), "counts": counts.tolist(), "conv_a": edge[0], "role_a": edge[1], "conv_z": before[0], "role_z": before[1]}
-            yield pa.RecordBatch.from_pylist([row])
+            row = {"part": TaskContext.get().partitionId(), "counts": counts.reshape(-1).tolist(), "conv_a": edge[0], "role_a": edge[1], "conv_z": before[0], "role_z": before[1]}
+            yield pa.RecordBatch.from_pylist([row], kinds)
 
+    def add(counts: np.ndarray, before: tuple | None, now: tuple) -> None:
+        """Count a segment (conversation, role) after the one before it."""
+        starts = before is None or before[0] != now[0]
+        if now[1] is not None and (starts or before[1] is not None):
+            counts[0 if starts else before[1] + 1, now[1]] += 1
+
+    kinds = pa.schema([("part", pa.int64()), ("counts", pa.list_(pa.float64())), ("conv_a", pa.int64()), ("role_a", pa.int64()), ("conv_z", pa.int64()), ("role_z", pa.int64())])
     ordered = _ordered(known.select("conv_id", "turn", "row", "segment", "role")).select("conv_id", "role")
     seen = ordered.mapInArrow(count, "part long, counts array<double>, conv_a long, role_a long, conv_z long, role_z long").orderBy("part").collect()  # a row a task
-    table = np.zeros((size + 1, size))
-    for k, row in enumerate(seen):
+    table, before = np.zeros((size + 1, size)), None
+    for row in seen:
         table += np.array(row["counts"]).reshape(size + 1, size)
-        goes_on = k and seen[k - 1]["conv_z"] == row["conv_a"]
-        table[seen[k - 1]["role_z"] + 1 if goes_on else 0, row["role_a"]] += 1
+        add(table, before, (row["conv_a"], row["role_a"]))
+        before = (row["conv_z"], row["role_z"])
     return Model(table[0], table[1:], emitted)
 
 
-def _chunks(found: DataFrame, model: Model, chunk: int) -> DataFrame:
+def _chunks(found: DataFrame, model: Model, chunk: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Chunks with their matrices; run: number of the conversation in its task; starts, ends: it is seen to, inside the task."""
     kinds = pa.schema([
         ("part", pa.int32()), ("run", pa.int32()), ("chunk", pa.int32()), ("starts", pa.bool_()), ("ends", pa.bool_()), ("conv_id", pa.int64()), ("turns", pa.list_(pa.int64())),
@@ -161,7 +168,7 @@ def _chunks(found: DataFrame, model: Model, chunk: int) -> DataFrame:
     ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, run, held, conv, starts = TaskContext.get().partitionId(), 0, -1, [], None, False
+        part, number, run, held, conv, starts, size = TaskContext.get().partitionId(), 0, -1, [], None, False, 0
 
         def row(ends: bool) -> pa.RecordBatch:
             turns, places, obs, texts = zip(*held, strict=True)
@@ -171,26 +178,27 @@ def _chunks(found: DataFrame, model: Model, chunk: int) -> DataFrame:
         for batch in batches:
             for c, *segment in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 new = run < 0 or c != conv
-                if held and (new or len(held) == chunk):
+                if held and (new or len(held) == chunk or size + len(segment[-1]) > chunk_bytes):
                     yield row(new)
-                    number, held, starts = number + 1, [], False
+                    number, held, starts, size = number + 1, [], False, 0
                 if new:
                     conv, run, starts = c, run + 1, run >= 0
                 held.append(segment)
+                size += len(segment[-1])
         if held:
             yield row(False)
 
     return _ordered(found.drop("role")).select("conv_id", "turn", "segment", "obs", "text").mapInArrow(cut, CHUNK)
 
 
-def recovered(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role", learn_from: Column | None = None, chunk: int = 512) -> DataFrame:
+def recovered(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role", learn_from: Column | None = None, chunk: int = 128, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """conv_id, turn, segment, role (recovered), rendered (its part of the canonical form). learn_from: rows whose roles count as known."""
     own = common.free_name(rows, "known_role")
     known = F.col(role_col).cast("string") if role_col else F.lit(None).cast("string")
     rows = rows.withColumn(own, F.when(learn_from, known) if learn_from is not None else known)
     found = segments(rows, conv_col=conv_col, turn_col=turn_col, text_col=text_col, role_col=own)
     model = learn(found)
-    chunks, _ = common.written(_chunks(found, model, chunk), "chunks")
+    chunks, _ = common.written(_chunks(found, model, chunk, chunk_bytes), "chunks")
     return _decoded(chunks, model)
 
 
@@ -260,7 +268,8 @@ def _decoded(chunks: DataFrame, model: Model) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                (r,) = batch.slice(k, 1).to_pylist()
                 roles = model.decode(r["obs"], r["before"], r["last"])
                 rendered, before = [], r["before"]
                 for role, text in zip(roles, r["texts"], strict=True):
