@@ -1,18 +1,19 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
 A chunk ends where the gear hash of the last WINDOW bytes has its top `bits` bits 0, at `least` bytes or more, or at
-`most` bytes (255 or fewer); ends never split a character. Insertions shift chunks only near them. Equal chunks have
-equal 64-bit digests. A digest's *keeper* is the least doc_id that has it; the chunks of other documents with it are
-redundant. Redundant chunks next to each other make a span, and spans of `min_words` words or more are reported, each
-with all keepers of its chunks: chunks at both ends of a shared passage mix it with what is around, so of a passage of
-51 words all but a few per mille show 24 or more. A span needs several chunks in a row, so two texts of one digest, by
-chance, do not make one.
+`most` bytes (255 or fewer); ends never split a character. Insertions shift chunks only near them. What is deduplicated
+are pairs of adjoining chunks, by the 64-bit digest of their bytes (about 60, ten words), so that common phrases of two
+documents seldom count, and chunks join in a span only where an earlier document has them in this order. A digest's
+*keeper* is the least doc_id that has it; the pairs of other documents with it are redundant. Redundant pairs that follow
+each other make a span, and spans of `min_words` words or more are reported, each with all keepers of its pairs: chunks
+at both ends of a shared passage mix it with what is around, so of a passage of 51 words all but a few per mille show 24
+or more. Texts of one digest by chance make no span, since a span of that many words needs several digests in a row.
 
 Digests are summed to least and greatest doc_id before they are shuffled, so frequent passages are no hot keys there;
 occurrences then join the repeated digests as plain tables, which adaptive execution splits where one is frequent.
 Spans of one document meet in one task, as its text does.
 
-Null and empty texts have no chunks. Repeats inside one document are left alone, as are rows with a null id; rows that
+Null and empty texts have no chunks, texts of one chunk no pairs. Repeats inside one document are left alone, as are rows with a null id; rows that
 share an id count as one document. Extra columns are ignored by spans() and pass through without_repeats().
 """
 
@@ -31,8 +32,8 @@ from sparklog.llm import common
 #: The gear: a random 32-bit number for each byte, from a fixed seed.
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
 WINDOW = 16
-#: place: first code point << 16 | code points << 8 | words begun.
-CHUNK = "doc_id long, digest long, place long"
+#: place: first code point << 32, code points of both chunks << 24 and << 16, words begun in both << 8 and << 0.
+PAIR = "doc_id long, digest long, place long"
 
 
 def cuts(text: bytes, least: int = 16, most: int = 96, bits: int = 4) -> list[int]:
@@ -64,7 +65,7 @@ def cuts(text: bytes, least: int = 16, most: int = 96, bits: int = 4) -> list[in
     return out
 
 
-def _chunks(docs: DataFrame, id_col: str, text_col: str, least: int, most: int, bits: int) -> DataFrame:
+def _pairs(docs: DataFrame, id_col: str, text_col: str, least: int, most: int, bits: int) -> DataFrame:
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
 
@@ -78,37 +79,47 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, least: int, most: int,
                     if not text:
                         continue
                     edges = [0, *cuts(text, least, most, bits)]
+                    if len(edges) < 3:
+                        continue
                     data = np.frombuffer(text, np.uint8)
                     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[edges]
                     blank = space[data]
                     begun = np.concatenate(([0], np.cumsum(~blank & np.concatenate(([True], blank[:-1])))))[edges]
-                    digests += [digest(text[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-                    ids.append(np.full(len(edges) - 1, doc))
-                    places.append(points[:-1] << 16 | np.diff(points) << 8 | np.diff(begun))
+                    size, words = np.diff(points), np.diff(begun)
+                    digests += [digest(text[a:b]) for a, b in zip(edges, edges[2:], strict=False)]
+                    ids.append(np.full(len(edges) - 2, doc))
+                    places.append(points[:-2] << 32 | size[:-1] << 24 | size[1:] << 16 | words[:-1] << 8 | words[1:])
                 if ids:
                     columns = [np.concatenate(ids), np.array(digests, np.uint64).view(np.int64), np.concatenate(places)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "digest", "place"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    return rows.mapInArrow(chunk, CHUNK)
+    return rows.mapInArrow(chunk, PAIR)
 
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24, least: int = 16, most: int = 96, bits: int = 4) -> DataFrame:
     """Redundant spans: doc_id, start, end (code points), words, keepers (keeper and words of its chunks that it keeps, by id)."""
     if most > 255:
         raise ValueError("chunks have 255 bytes at most")
-    chunks, _ = common.written(_chunks(docs, id_col, text_col, least, most, bits), "chunks")
-    repeated = chunks.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last")
+    pairs, _ = common.written(_pairs(docs, id_col, text_col, least, most, bits), "pairs")
+    repeated = pairs.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last")
     repeated, _ = common.written(repeated, "repeated")
-    redundant = chunks.join(repeated, "digest").filter("doc_id > keeper").select("doc_id", "place", "keeper").dropDuplicates(["doc_id", "place", "keeper"])
-    start, points, words = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
-    placed = redundant.select("doc_id", start.alias("start"), (start + points).alias("end"), words.alias("words"), "keeper")
+    redundant = pairs.join(repeated, "digest").filter("doc_id > keeper").select("doc_id", "place", "keeper").dropDuplicates(["doc_id", "place", "keeper"])
+    part = {name: F.shiftright("place", n).bitwiseAND(F.lit(255)) for name, n in (("points", 24), ("more_points", 16), ("words", 8), ("more_words", 0))}
+    placed = redundant.select("doc_id", "keeper", F.shiftright("place", 32).alias("start"), *[c.alias(n) for n, c in part.items()])
     order = Window.partitionBy("doc_id").orderBy("start")
-    fresh = placed.withColumn("fresh", F.coalesce((F.lag("end").over(order) != F.col("start")).cast("int"), F.lit(1)))
-    runs = fresh.withColumn("run", F.sum("fresh").over(order))
+    after = F.col("start") + F.col("points")
+    fresh = F.coalesce((F.lag(after).over(order) != F.col("start")).cast("int"), F.lit(1))
+    # A pair counts its first chunk, and its second one where no pair begins with that.
+    follows = F.coalesce(F.lead("start").over(order) == after, F.lit(False))
+    own = follows & (F.lead("keeper").over(order) == F.col("keeper"))
+    counted = [F.col("words") + F.when(there, 0).otherwise(F.col("more_words")) for there in (follows, own)]
+    runs = placed.select("doc_id", "keeper", "start", (after + F.col("more_points")).alias("end"), fresh.alias("fresh"), counted[0].alias("words"), counted[1].alias("kept"))
+    runs = runs.withColumn("run", F.sum("fresh").over(order))
     # Dealt by doc_id already: two aggregates and no further shuffle. Each keeper counts, since none of them has the whole span.
-    kept = runs.groupBy("doc_id", "run", "keeper").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
-    found = kept.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("keeper", "words"))).alias("keepers"))
+    kept = runs.groupBy("doc_id", "run", "keeper").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.sum("kept").alias("kept"))
+    each = F.sort_array(F.collect_list(F.struct("keeper", F.col("kept").alias("words"))))
+    found = kept.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), each.alias("keepers"))
     return found.filter(F.col("words") >= min_words).drop("run")
 
 
