@@ -14,6 +14,7 @@ column of the name `out` is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import defaultdict
@@ -97,7 +98,20 @@ def original_spans(text: str, flat: list[int]) -> list[dict[str, int]]:
     return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(flat[::2], flat[1::2])]
 
 
+SCANNERS: dict[str, Scanner] = {}
+
+
+def scanner_of(key: str, items: list[tuple[str, bytes]], width: int) -> Scanner:
+    """The process's automaton: Spark's Python workers keep the last one from task to task."""
+    if key not in SCANNERS:
+        SCANNERS.clear()
+        SCANNERS[key] = Scanner(items, width)
+    return SCANNERS[key]
+
+
 def _scan_with(items: list[tuple[str, bytes]], width: int):
+    key = hashlib.sha256(repr((sorted(items), width)).encode()).hexdigest()
+
     def result(text: bytes, scanner: Scanner, before: dict | None) -> dict:
         n, flat, ids = scanner.scan(text)
         if before and before["hits"]:
@@ -108,13 +122,13 @@ def _scan_with(items: list[tuple[str, bytes]], width: int):
 
     @F.arrow_udf(RESULT)
     def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scanner = Scanner(items, width)
+        scanner = scanner_of(key, items, width)
         for texts in batches:
             yield pa.array([result(t, scanner, None) for t in common.byte_texts(texts)], STRUCT)
 
     @F.arrow_udf(RESULT)
     def later(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        scanner = Scanner(items, width)
+        scanner = scanner_of(key, items, width)
         for texts, before in batches:
             yield pa.array([result(t, scanner, b) for t, b in zip(common.byte_texts(texts), before.to_pylist(), strict=True)], STRUCT)
 

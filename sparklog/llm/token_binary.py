@@ -9,8 +9,12 @@ index; checkpoints; 32-bit words of all blocks; CRC-32 of all that. A block hold
 64-bit rANS states (id i goes to lane i mod LANES) and depends on no other block. Every `CHECK` steps a block has a
 checkpoint (all lane states and the word position), so decoding can start there; each block has a CRC-32 of its ids.
 
+Readers decode blocks in parallel: a shard of more than RANGE blocks (one with a very long document) is read in ranges of
+so many, each by a task of its own, and a slice of the ids is decoded from the nearest checkpoints on (`read_ids`).
+
 Null and empty texts become a document of the end id alone. Rows with a null doc_id come first. Repeated doc_ids are
-kept, ordered by text. Extra columns are ignored.
+kept, ordered by text, and where ids repeat much, ranges are cut inside an id by the texts' first PREFIX characters.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +36,13 @@ from pyspark.sql.window import Window
 from sparklog.llm import common
 
 MAGIC = b"SLTB"
+RANGE, PREFIX = 256, 64
 BITS, LOW, LANES, BLOCK, CHECK = 20, 1 << 31, 32, 32768, 512
 HEAD = struct.Struct("<4sHHIIQQIIII")
 TABLE_SCHEMA = "part int, seq int, n_docs long, n_tokens long, first_doc long, image binary"
 #: Letters, then other characters than letters, digits, underscores, white space and apostrophes.
 LETTERS_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
-DOC_SCHEMA = "part int, seq int, doc_id long, shard_start long, n_tokens long, ids_crc32 long"
+DOC_SCHEMA = "part int, seq int, doc long, doc_id long, at long, piece_start long, n_tokens long"
 
 
 def normalised(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -158,13 +163,26 @@ class Image:
             at = at + low.sum(axis=1)
         return self.symbols[out.transpose(1, 0, 2).reshape(hi - lo, -1)]
 
-    def ids(self) -> np.ndarray:
-        """All ids of the shard; raises where a block's checksum differs."""
-        found = self.decode()
-        for b in range(self.blocks):
-            if zlib.crc32(found[b][: self.n - b * self.block].astype("<u4").tobytes()) != self.sums[b]:
+    def ids(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """All ids of blocks lo..hi; raises where a block's checksum differs."""
+        hi = self.blocks if hi is None else min(hi, self.blocks)
+        found = self.decode(lo, hi)
+        for b in range(lo, hi):
+            if zlib.crc32(found[b - lo][: self.n - b * self.block].astype("<u4").tobytes()) != self.sums[b]:
                 raise ValueError(f"block {b} is damaged: its checksum differs")
-        return found.reshape(-1)[: self.n]
+        return found.reshape(-1)[: self.n - lo * self.block]
+
+    def slice(self, start: int, end: int) -> np.ndarray:
+        """Ids start..end of the shard: the first block from the checkpoint before `start` on, the others whole."""
+        end = min(end, self.n)
+        if start >= end:
+            return np.empty(0, np.uint32)
+        first, last = start // self.block, (end - 1) // self.block
+        mark = (start - first * self.block) // (self.check * self.lanes)
+        head = self.decode(first, first + 1, mark)[0]
+        parts = [head] + ([self.decode(first + 1, last + 1).reshape(-1)] if last > first else [])
+        skipped = first * self.block + mark * self.check * self.lanes
+        return np.concatenate(parts)[start - skipped : end - skipped]
 
 
 class Encoder:
@@ -301,42 +319,132 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    first = F.col("doc_id").asc_nulls_first()
+    n, distinct = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("doc_id")).first()
+    # The order is by id and text; a cut inside an id, if many rows share one (or null), follows it too.
+    ranges = [first, F.left("text", F.lit(PREFIX)).asc_nulls_first()] if n > 1.5 * distinct + 100 else [first]
+    ordered = rows.repartitionByRange(*ranges).sortWithinPartitions(first, F.col("text").asc_nulls_first())
     ordered.mapInArrow(encode, TABLE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Decode a table of file images: part, seq, doc_id, shard_start (ids before it in its shard), n_tokens, ids_crc32, ids (array)."""
-    return _decoded(spark, path, with_ids=True)
+def _images(spark: SparkSession, path: str, blocks: int) -> DataFrame:
+    """part, seq, image, lo: a row for each range of `blocks` blocks of a shard."""
+    shards = spark.read.parquet(path)
+    count = F.floor((F.col("n_tokens") - 1) / (BLOCK * blocks))
+    return shards.select("part", "seq", "image", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), count), lambda k: k * blocks)).alias("lo"))
+
+
+def read_token_files(spark: SparkSession, path: str, *, blocks: int = RANGE) -> DataFrame:
+    """Decode a table of file images: part, seq, doc, doc_id, at, piece_start (ids before the piece in its shard), n_tokens, ids (array).
+
+    doc numbers the documents of a shard. A document is a row, or, where its blocks are of several ranges, a row a range;
+    `at` is the place of the piece's first id in its document.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, seq, doc, doc_ids, at, start, ids, edges in _decoded(batches, blocks):
+            columns = _columns(part, seq, doc, doc_ids, at, start, edges)
+            columns["ids"] = pa.ListArray.from_arrays(edges.astype(np.int32), pa.array(ids.astype(np.int64)))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return _images(spark, path, blocks).mapInArrow(decode, DOC_SCHEMA + ", ids array<long>")
+
+
+def _columns(part: int, seq: int, doc: np.ndarray, doc_ids: list[int | None], at: np.ndarray, start: np.ndarray, edges: np.ndarray) -> dict[str, pa.Array]:
+    n = len(doc)
+    return {
+        "part": pa.array([part] * n, pa.int32()), "seq": pa.array([seq] * n, pa.int32()), "doc": pa.array(doc, pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "at": pa.array(at, pa.int64()),
+        "piece_start": pa.array(start, pa.int64()), "n_tokens": pa.array(np.diff(edges), pa.int64()),
+    }
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[tuple]:
+    """For each range of blocks: part, seq, number, id and place of the pieces of documents in it, its ids and the pieces' edges in them."""
+    for batch in batches:
+        for part, seq, image, lo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            shard = Image(image.as_py())
+            ids = shard.ids(lo, lo + blocks).astype("<u4")
+            first, last = lo * shard.block, lo * shard.block + len(ids)
+            ends = np.cumsum(shard.lengths)
+            doc = np.arange(np.searchsorted(ends, first, "right"), np.searchsorted(ends, last, "left") + 1)
+            start = np.maximum(ends[doc] - shard.lengths[doc], first)
+            edges = np.concatenate((start - first, [last - first]))
+            yield part, seq, doc, [shard.doc_ids[d] for d in doc], start - (ends - shard.lengths)[doc], start, ids, edges
+
+
+def _bases(spark: SparkSession, path: str) -> DataFrame:
+    """part, seq, base: ids in all shards before; running totals over one row a task, then over the shards of each."""
+    shards = spark.read.parquet(path).select("part", "seq", F.col("n_tokens").alias("held"))
+    zero = F.lit(0).cast("long")
+    tasks = shards.groupBy("part").agg(F.sum("held").alias("held"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select("part", F.coalesce(F.sum("held").over(earlier), zero).alias("task_base"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    own = shards.select("part", "seq", F.coalesce(F.sum("held").over(inside), zero).alias("own"))
+    return own.join(tasks, "part").select("part", "seq", (F.col("task_base") + F.col("own")).alias("base"))
+
 
+def read_ids(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """Ids start..end of all documents in a row: start (of the row's ids), ids (array); only the blocks that hold them are decoded."""
+    bases = _bases(spark, path)
+    shards = spark.read.parquet(path).join(bases, ["part", "seq"]).filter((F.col("base") < end) & (F.col("base") + F.col("n_tokens") > start))
 
-def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seq, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                shard = Image(image.as_py())
-                ids = shard.ids().astype("<u4")
-                ends = np.cumsum(shard.lengths)
-                starts = ends - shard.lengths
-                view = memoryview(ids.tobytes())
-                sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                n = len(sums)
-                columns = {"part": pa.array([part] * n, pa.int32()), "seq": pa.array([seq] * n, pa.int32()), "doc_id": pa.array(shard.doc_ids, pa.int64()), "shard_start": pa.array(starts), "n_tokens": pa.array(shard.lengths), "ids_crc32": pa.array(sums, pa.int64())}
-                if with_ids:
-                    columns["ids"] = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(ids.astype(np.int64)))
-                yield pa.RecordBatch.from_pydict(columns)
-
-    images = spark.read.parquet(path).select("part", "seq", "image")
-    return images.mapInArrow(decode, DOC_SCHEMA + ", ids array<long>" * with_ids)
-
-
-def token_digests(spark: SparkSession, path: str) -> DataFrame:
+            for image, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                ids = Image(image.as_py()).slice(max(0, start - base), end - base)
+                yield pa.RecordBatch.from_pydict({"start": pa.array([max(start, base)], pa.int64()), "ids": pa.array([ids.tolist()], pa.list_(pa.int64()))})
+
+    return shards.select("image", "base").mapInArrow(decode, "start long, ids array<long>")
+
+
+def token_digests(spark: SparkSession, path: str, *, blocks: int = RANGE) -> DataFrame:
     """Per document, decoded from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    shards = spark.read.parquet(path).select("part", "seq", F.col("n_tokens").alias("held"))
-    earlier = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select("part", "seq", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
-    docs = _decoded(spark, path, with_ids=False).join(shards, ["part", "seq"])
-    return docs.select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, seq, doc, doc_ids, at, start, ids, edges in _decoded(batches, blocks):
+            view = memoryview(ids.tobytes())
+            sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_pydict(_columns(part, seq, doc, doc_ids, at, start, edges) | {"ids_crc32": pa.array(sums, pa.int64())})
+
+    pieces = _images(spark, path, blocks).mapInArrow(digest, DOC_SCHEMA + ", ids_crc32 long").join(_bases(spark, path), ["part", "seq"])
+    pieces = pieces.select("part", "seq", "doc", "doc_id", "at", (F.col("base") + F.col("piece_start")).alias("start"), "n_tokens", "ids_crc32")
+    found = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    if not spark.read.parquet(path).filter(F.col("n_tokens") > BLOCK * blocks).take(1):
+        return pieces.select(*found)
+
+    joined = F.udf(lambda parts: reduce(lambda total, p: crc32_combine(total, p["crc"], 4 * p["n"]), sorted(parts), 0), "long")
+    # A document's pieces are a row for RANGE blocks of it: few, whatever its length.
+    docs = pieces.groupBy("part", "seq", "doc").agg(F.max("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.collect_list(F.struct("at", F.col("n_tokens").alias("n"), F.col("ids_crc32").alias("crc"))).alias("parts"))
+    whole = docs.filter(F.size("parts") == 1).withColumn("ids_crc32", F.col("parts")[0]["crc"])
+    return whole.select(*found).unionByName(docs.filter(F.size("parts") > 1).withColumn("ids_crc32", joined("parts")).select(*found))
+
+
+def crc32_combine(a: int, b: int, length: int) -> int:
+    """CRC-32 of two strings in a row, from those of each and the second one's length in bytes.
+
+    Zero bytes after a string change its register linearly: bit k to the image of bit k, by squaring for 1, 2, 4, ... bytes.
+    """
+
+    def applied(images: list[int], x: int) -> int:
+        out = 0
+        for k in range(32):
+            if x >> k & 1:
+                out ^= images[k]
+        return out
+
+    step = []
+    for k in range(32):  # one zero byte after a register that has bit k alone
+        x = 1 << k
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        step.append(x)
+    while length:
+        if length & 1:
+            a = applied(step, a)
+        step = [applied(step, x) for x in step]
+        length >>= 1
+    return a ^ b
 
 
 def token_output(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

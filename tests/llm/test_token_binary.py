@@ -43,6 +43,46 @@ def test_odd_rows_and_ids(spark, plain, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() >= 2
 
 
+def test_very_long_documents_are_decoded_in_ranges(spark, plain, tmp_path):
+    rnd = np.random.default_rng(4)
+    texts = [" ".join(rnd.choice(["alpha", "beta", "gamma", "delta"], n)) for n in (5, 150_000, 3, 70_000, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = str(tmp_path / "t")
+    tb.write_token_files(docs.coalesce(1), path, PATH, shard_tokens=160_000)
+    rows = want(list(enumerate(texts)), plain)
+    for blocks in (1, 2, 256):
+        assert sorted(tuple(r) for r in tb.token_digests(spark, path, blocks=blocks).collect()) == rows
+        pieces = tb.read_token_files(spark, path, blocks=blocks).orderBy("doc_id", "at").collect()
+        assert (len(pieces) > 5) == (blocks < 256)
+        ids = {k: [x for r in pieces if r["doc_id"] == k for x in r["ids"]] for k in range(5)}
+        assert ids == {k: [*plain(t), 2] for k, t in enumerate(texts)}
+    every = [x for k in range(5) for x in ids[k]]
+    for start, end in ((0, 7), (16_384, 16_390), (40_000, 200_123), (len(every) - 3, len(every) + 9), (5, 5)):
+        found = [x for r in tb.read_ids(spark, path, start, end).orderBy("start").collect() for x in r["ids"]]
+        assert found == every[start:end]
+
+
+def test_crc_of_parts():
+    rnd = np.random.default_rng(1)
+    for a, b in ((0, 0), (3, 0), (0, 5), (4, 4), (1000, 77), (5, 100_000)):
+        x, y = rnd.bytes(a), rnd.bytes(b)
+        assert tb.crc32_combine(zlib.crc32(x), zlib.crc32(y), b) == zlib.crc32(x + y)
+
+
+def test_one_id_of_many_rows_is_dealt_out(spark, plain, tmp_path):
+    rows = [(None if k % 3 else 7, f"text {k * 7919 % 1000} of many") for k in range(1200)] + [(8, "x"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tb.write_token_files(docs.repartition(6), str(tmp_path / "t"), PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(str(tmp_path / "t")).select("part").distinct().count() > 2
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    found = sorted((tuple(r) for r in tb.token_digests(spark, str(tmp_path / "t")).collect()), key=lambda r: r[1])
+    assert found == want(order, plain)
+
+
 def test_no_documents(spark):
     assert tb.token_output(no_documents(spark), PATH).collect() == []
 
