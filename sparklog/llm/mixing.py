@@ -1,10 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting (raking), then calibrated sampling.
 
-Documents are summed to cells (source, language, topic) of tokens. Raking scales the cells in turn until the marginals
+Documents are summed to cells (source, language, topic) of tokens. Topics come from the texts (topics.py) unless a column
+is given; tokens are words between ASCII white space. Raking scales the cells in turn until the marginals
 meet their targets; a document's weight is its cell's raked share over its observed share. Its probability is
 min(1, scale x weight), with the scale that makes the expected tokens `keep` of all, and it is sampled if a hash of its
 id, uniform in [0, 1), lies below. Targets are shares by category, or a power: observed shares raised to it, normalised.
 Given categories that no cell has are left out and the rest normalised; categories without a given target get none.
+Where the targets cannot all be met (or not in `rounds` rounds), a warning tells how far the marginals are off.
 
 Up to `driver_cells` cells are raked on the driver and broadcast; more are raked as a table, by aggregates over the
 marginals written to the shared folder each round. Documents themselves are never shuffled by the first way.
@@ -16,11 +18,13 @@ table gives an empty result. Other columns pass through.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm import common
+from sparklog.llm import common, topics as topic_model
 
 KEYS = ("mix_source", "mix_lang", "mix_topic")
 Target = float | dict[str | None, float]
@@ -31,16 +35,9 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def topic_of(text: Column, tokens: Column) -> Column:
-    """A form as topic: list, markup, shout, brief, long or prose, by character shares and length."""
-    size = F.greatest(F.char_length(text), F.lit(1))
-    bars = F.regexp_count(text, F.lit(r"\|"))
-    marks = F.regexp_count(text, F.lit("[#*$%&<>]"))
-    capitals = F.regexp_count(text, F.lit(r"\p{Lu}"))
-    return (
-        F.when(text.isNull() | (tokens == 0), "empty").when(bars > 0.02 * size, "list").when(marks > 0.02 * size, "markup")
-        .when(capitals > 0.3 * size, "shout").when(tokens < 100, "brief").when(tokens > 1000, "long").otherwise("prose")
-    )
+def _report(off: float, tolerance: float) -> None:
+    if off > max(tolerance, 1e-3):
+        warnings.warn(f"the target marginals are not met: a category is off by a factor of {1 + off:.4g}", stacklevel=3)
 
 
 def shares(observed: dict[str | None, float], target: Target) -> dict[str | None, float]:
@@ -65,6 +62,7 @@ def rake(keys: list[tuple], tokens: np.ndarray, targets: list[Target], rounds: i
         seen = np.bincount(place, mass, len(names))
         wanted = shares(dict(zip(names, seen.tolist(), strict=True)), target)
         plans.append((place, np.array([wanted[n] for n in names])))
+    off = 0.0
     for _ in range(rounds):
         off = 0.0
         for place, wanted in plans:
@@ -74,6 +72,7 @@ def rake(keys: list[tuple], tokens: np.ndarray, targets: list[Target], rounds: i
             mass = mass * factor[place]
         if off < tolerance:
             break
+    _report(off, tolerance)
     return np.divide(mass * total, tokens, out=np.ones(len(tokens)), where=tokens > 0)
 
 
@@ -115,6 +114,7 @@ def _rake_table(cells: DataFrame, targets: list[Target], rounds: int, tolerance:
             raise ValueError("no category that a target names has tokens")
         wanted.append(seen.withColumn("share", F.col("share") / F.lit(whole)))
     mass, path = common.written(mass, "cells")
+    off = 0.0
     for _ in range(rounds):
         off = 0.0
         for key, share in zip(KEYS, wanted, strict=True):
@@ -130,6 +130,7 @@ def _rake_table(cells: DataFrame, targets: list[Target], rounds: int, tolerance:
             mass, path = scaled, new
         if off < tolerance:
             break
+    _report(off, tolerance)
     return mass.select(*KEYS, "tokens", F.when(F.col("tokens") > 0, F.col("mass") * float(total) / F.col("tokens")).otherwise(1.0).alias("weight"))
 
 
@@ -155,10 +156,19 @@ def with_probabilities(
 ) -> DataFrame:
     """docs with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight and mix_probability (such columns are replaced)."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {*KEYS, "mix_tokens", "mix_weight", "mix_probability"}])
-    docs = docs.withColumn("mix_tokens", n_tokens(F.col(text_col)))
-    own = topic if topic is not None else topic_of(F.col(text_col), F.col("mix_tokens"))
-    docs = docs.withColumns({"mix_source": F.col(source_col).cast("string"), "mix_lang": F.col(lang_col).cast("string"), "mix_topic": own.cast("string")})
-    cells = docs.groupBy(*KEYS).agg(F.sum("mix_tokens").alias("tokens"))
+    text, named = F.col(text_col), {"mix_source": F.col(source_col).cast("string"), "mix_lang": F.col(lang_col).cast("string")}
+    if topic is None:
+        # The texts are read twice: for the vectors, from which topics and cells come, and for the result.
+        held = docs.select(*[c.alias(k) for k, c in named.items()], topic_model.features(text).alias("found"))
+        rows, _ = common.written(held.select(*named, "found.tokens", "found.vector"), "vectors")
+        model = topic_model.fit(rows.select("vector", F.col("mix_lang").alias("lang")))
+        cells = rows.withColumn("mix_topic", topic_model.topic_of_vector(F.col("vector"), F.col("mix_lang"), model)).groupBy(*KEYS).agg(F.sum("tokens").alias("tokens"))
+        own = common.free_name(docs, "mix_found")
+        docs = docs.withColumns(named).withColumn(own, topic_model.topic_of_text(text, F.col("mix_lang"), model))
+        docs = docs.withColumns({"mix_tokens": F.col(f"{own}.tokens"), "mix_topic": F.col(f"{own}.topic")}).drop(own)
+    else:
+        docs = docs.withColumns(named | {"mix_tokens": n_tokens(text), "mix_topic": topic.cast("string")})
+        cells = docs.groupBy(*KEYS).agg(F.sum("mix_tokens").alias("tokens"))
     cells, _ = common.written(cells, "cells")
     targets = [source, lang, topics]
     rows = cells.limit(driver_cells + 1).collect()
@@ -174,9 +184,10 @@ def with_probabilities(
         cells = _rake_table(cells, targets, rounds, tolerance)
         scale = _scale_table(cells, keep)
         cells = cells.select(*KEYS, F.col("weight").alias("mix_weight"))
-    cells = cells.select(*[F.col(k).alias(f"cell_{k}") for k in KEYS], "mix_weight")
-    same = [F.col(k).eqNullSafe(F.col(f"cell_{k}")) for k in KEYS]
-    joined = docs.join(cells, same[0] & same[1] & same[2]).drop(*[f"cell_{k}" for k in KEYS])
+    own = {k: common.free_name(docs, f"cell_{k}") for k in KEYS}
+    cells = cells.select(*[F.col(k).alias(own[k]) for k in KEYS], "mix_weight")
+    same = [F.col(k).eqNullSafe(F.col(own[k])) for k in KEYS]
+    joined = docs.join(cells, same[0] & same[1] & same[2]).drop(*own.values())
     return joined.withColumn("mix_probability", F.least(F.lit(1.0), F.col("mix_weight") * F.lit(scale)))
 
 
@@ -188,6 +199,6 @@ def sampled(id_col: str = "doc_id", seed: int = 17) -> Column:
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", seed: int = 17, **options) -> DataFrame:
     """The sampled documents, columns as they were."""
-    clash = {c: common.free_name(docs, f"own_{c}") for c in docs.columns if c.lower().startswith(("mix_", "cell_"))}
+    clash = {c: common.free_name(docs, f"own_{c}") for c in docs.columns if c.lower().startswith("mix_")}
     found = with_probabilities(docs.withColumnsRenamed(clash), **options).filter(sampled(id_col, seed))
     return found.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])

@@ -1,5 +1,11 @@
+import math
+import random
+import re
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparklog.llm import mixing
 from sparklog.llm.queries import op3_mixing
@@ -70,6 +76,70 @@ def test_table_equals_driver(spark):
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-12
 
 
+def test_columns_of_the_cells_names_stay(spark):
+    docs = spark.createDataFrame([(1, "one two", "en", "s", "a", "b", "c", "d")], "doc_id long, text string, lang string, source string, cell_mix_source string, CELL_mix_lang string, cell_mix_topic string, mix_found string")
+    row = mixing.with_probabilities(docs, keep=1.0).first()
+    assert (row["cell_mix_source"], row["CELL_mix_lang"], row["cell_mix_topic"], row["mix_found"], row["mix_probability"]) == ("a", "b", "c", "d", 1.0)
+    assert mixing.mixed(docs, keep=1.0).collect() == docs.collect()
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    keys, tokens = [("a", "en", "t"), ("b", "fr", "t")], np.array([5.0, 5.0])
+    with pytest.warns(UserWarning, match="not met"):
+        mixing.rake(keys, tokens, [{"a": 0.5, "b": 0.5}, {"en": 0.9, "fr": 0.1}, 1.0])
+    docs = spark.createDataFrame([(1, "x y", "en", "a"), (2, "x y", "fr", "b")], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="not met"):
+        mixing.with_probabilities(docs, topic=F.lit("t"), source={"a": 0.5, "b": 0.5}, lang={"en": 0.9, "fr": 0.1}, rounds=4, driver_cells=1).count()
+
+
+def made(rnd, subject, lang, n):
+    """A text of words of a subject, written otherwise in each language, among function words."""
+    return " ".join(rnd.choice([f"{lang}{chr(97 + subject)}{chr(97 + rnd.randint(0, 25))}word", "the", "of", "a"]) for _ in range(n))
+
+
+def plain_topics(rows, topics=8, rounds=5):
+    """k-means one document at a time over (text, lang)."""
+    vectors = []
+    for text, _ in rows:
+        counts = [0] * 64
+        for w in re.findall("[a-z\x80-\uffff]+", text.lower()):
+            if len(w.encode()) >= 4:
+                counts[zlib.crc32(w.encode()) % 64] += 1
+        length = math.sqrt(sum(counts))
+        vectors.append([round(math.sqrt(c) * 127 / length) if length else 0 for c in counts])
+    means = {}
+    for lang in {lang for _, lang in rows}:
+        own = [v for v, (_, x) in zip(vectors, rows, strict=True) if x == lang]
+        means[lang] = [sum(c) / len(own) for c in zip(*own, strict=True)]
+    moved = [[a - b for a, b in zip(v, means[lang], strict=True)] for v, (_, lang) in zip(vectors, rows, strict=True)]
+    centers = (np.random.Generator(np.random.PCG64(20240301)).choice([-1.0, 1.0], (topics, 64)) / 8).tolist()
+    pick = lambda m: max(range(topics), key=lambda k: (sum(a * b for a, b in zip(m, centers[k], strict=True)), -k))
+    for _ in range(rounds):
+        groups = [[] for _ in range(topics)]
+        for v, m in zip(vectors, moved, strict=True):
+            if any(v):
+                groups[pick(m)].append(m)
+        for k, group in enumerate(groups):
+            total = [sum(c) for c in zip(*group, strict=True)] if group else [0.0]
+            length = math.sqrt(sum(x * x for x in total))
+            centers[k] = [x / length for x in total] if length else centers[k]
+    return [f"t{pick(m)}" if any(v) else "none" for v, m in zip(vectors, moved, strict=True)]
+
+
+def test_topics_against_plain_clustering(spark):
+    rnd = random.Random(6)
+    rows = [(made(rnd, i % 4, "xy"[i % 2], rnd.randint(10, 60)), "xy"[i % 2]) for i in range(160)] + [("a of", "x"), ("", None)]
+    df = spark.createDataFrame([(i, t, lang, "s") for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(7)
+    got = {r["doc_id"]: r["mix_topic"] for r in mixing.with_probabilities(df).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_topics(rows)
+    pure = 0  # the texts of a topic in a language are mostly of one subject
+    for lang in "xy":
+        for topic in set(got.values()):
+            own = [i % 4 for i, (_, x) in enumerate(rows[:160]) if got[i] == topic and x == lang]
+            pure += max(map(own.count, own), default=0)
+    assert pure >= 0.85 * 160
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark, "mix_source string, CELL_x string".replace(", CELL_x string", ""))
     found = mixing.mixed(docs, keep=1.0)
