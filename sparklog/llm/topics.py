@@ -1,7 +1,7 @@
 """Topics of texts without topic labels: spherical k-means over hashed content words, fitted on all documents.
 
 A text's content words (letters only, `LEAST` bytes or more, so that function words hardly count) are hashed to DIMS
-buckets; the square roots of their counts, scaled to length 127 and rounded, are its vector of DIMS bytes. From it the
+buckets (by sums of a random number for each byte times an odd one for its place, for many texts at once); the square roots of their counts, scaled to length 127 and rounded, are its vector of DIMS bytes. From it the
 mean vector of its language is taken, so that topics are not languages: labels that LANGUAGES or more others outnumber,
 and null ones, share one mean. Centroids begin at fixed random directions; each round every document goes to the
 centroid of the greatest scalar product (ties: the first), and centroids become the sums of their documents.
@@ -15,9 +15,7 @@ Texts without content words have the topic "none". A null text counts as empty.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,34 +25,76 @@ from pyspark.sql import functions as F
 from sparklog.llm import common
 
 DIMS, LEAST, LANGUAGES = 64, 4, 32
-#: Lower-case letters; other ASCII characters part words.
-LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+#: Lower-case letters and bytes of other characters than ASCII; 0: what parts words.
+LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 0 for b in range(256)], np.uint8)
+SPACE = np.array([b in b" \t\n\v\f\r" for b in range(256)])
+#: Random numbers of bytes and of places in a word (from the 65th byte on, places begin again), from a fixed seed.
+_DRAW = np.random.Generator(np.random.PCG64(20240302))
+GEAR, PLACES = _DRAW.integers(0, 1 << 32, 256, dtype=np.uint32), _DRAW.integers(0, 1 << 32, 64, dtype=np.uint32) | np.uint32(1)
+BLOCK = 1 << 20
 FEATURES = "tokens long, vector binary"
 
 
-class Buckets(dict):
-    """Bucket of each word, DIMS for short ones; bounded."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        found = crc32(word) % DIMS if len(word) >= LEAST else DIMS
-        if len(self) < self.MOST:
-            self[word] = found
-        return found
-
-
-@lru_cache(1)
-def buckets() -> Buckets:
-    """The process's buckets, kept from task to task."""
-    return Buckets()
-
-
-def vector_of(text: bytes) -> np.ndarray:
-    """The text's vector (int8); zeros without content words."""
-    counts = np.bincount(np.fromiter(map(buckets().__getitem__, text.translate(LETTERS).split()), np.int64), minlength=DIMS + 1)[:DIMS]
-    length = np.sqrt(counts.sum())
-    return np.rint(np.sqrt(counts) * (127 / length if length else 0.0)).astype(np.int8)
+def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words between white space of each text, and its content words by bucket."""
+    n = len(texts)
+    edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    solid = ~SPACE[data]
+    begins = np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
+    tokens = np.bincount(np.searchsorted(edges, begins, "right") - 1, minlength=n)
+    letters = LETTERS[data]
+    at = np.flatnonzero(letters)
+    if not len(at):
+        return tokens, np.zeros((n, DIMS), np.int64)
+    starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    lengths = np.diff(starts, append=len(at))
+    place = np.arange(len(at)) - np.repeat(starts, lengths)
+    hashes = np.add.reduceat(GEAR[letters[at]] * PLACES[place & 63], starts, dtype=np.uint32)
+    kept = lengths >= LEAST
+    doc = np.searchsorted(edges, at[starts[kept]], "right") - 1
+    return tokens, np.bincount(doc * DIMS + (hashes[kept] >> np.uint32(26)), minlength=n * DIMS).reshape(n, DIMS)
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about BLOCK bytes, cut at spaces only."""
+    at = 0
+    while len(text) - at > BLOCK:
+        cut = text.rfind(b" ", at, at + BLOCK)
+        cut = cut if cut > at else text.find(b" ", at + BLOCK)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """_counted() of any texts, in blocks of about BLOCK bytes."""
+    tokens, buckets = np.zeros(len(texts), np.int64), np.zeros((len(texts), DIMS), np.int64)
+    held, owners, size = [], [], 0
+
+    def add() -> None:
+        t, b = _counted(held)
+        np.add.at(tokens, owners, t)
+        np.add.at(buckets, owners, b)
+
+    for k, text in enumerate(texts):
+        for piece in _pieces(text):
+            held.append(piece), owners.append(k)
+            size += len(piece)
+            if size >= BLOCK:
+                add()
+                held, owners, size = [], [], 0
+    if held:
+        add()
+    return tokens, buckets
+
+
+def vectors_of(buckets: np.ndarray) -> np.ndarray:
+    """Vectors (int8, a row a text) from content words by bucket; zeros without any."""
+    length = np.sqrt(buckets.sum(axis=1, keepdims=True))
+    return np.rint(np.sqrt(buckets) * (127 / np.maximum(length, 1e-9))).astype(np.int8)
 
 
 class Topics(NamedTuple):
@@ -76,8 +116,8 @@ def features(text: Column) -> Column:
     @F.arrow_udf(FEATURES)
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = common.byte_texts(texts)
-            yield pa.StructArray.from_arrays([pa.array([len(t.split()) for t in rows], pa.int64()), pa.array([vector_of(t).tobytes() for t in rows], pa.binary())], ["tokens", "vector"])
+            tokens, buckets = counted(common.byte_texts(texts))
+            yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array([v.tobytes() for v in vectors_of(buckets)], pa.binary())], ["tokens", "vector"])
 
     return found(text)
 
@@ -94,8 +134,10 @@ def _sums(rows: DataFrame, group) -> dict:
         for batch in batches:
             vectors, langs = _vectors(batch.column(0)), batch.column(1).to_pylist()
             keys = group(vectors, langs)
-            for key in set(keys):
-                own = vectors[[k == key for k in keys]]
+            order = {key: k for k, key in enumerate(dict.fromkeys(keys))}
+            place = np.array([order[key] for key in keys], np.int64)
+            for key, k in order.items():
+                own = vectors[place == k]
                 sums[key] = sums.get(key, 0) + np.append(own.sum(axis=0), len(own))
         yield pa.RecordBatch.from_pydict({"key": pa.array(list(sums), pa.string()), "sums": pa.array([x.astype(np.int64).tolist() for x in sums.values()], pa.list_(pa.int64()))})
 
@@ -116,7 +158,7 @@ def fit(rows: DataFrame, *, topics: int = 8, rounds: int = 5) -> Topics:
     for _ in range(rounds):
         model = Topics(means, centroids)
         # A group is a topic in a language, so that the language's mean can be taken from the sums of integers.
-        groups = _sums(rows, lambda vectors, langs, model=model: [f"{k}:{x if x in top else ''}" for k, x in zip(model.of(vectors, langs), langs, strict=True)])
+        groups = _sums(rows, lambda vectors, langs, model=model: [f"{k}:{x if x in top else ''}" for k, x in zip(model.of(vectors, langs).tolist(), langs, strict=True)])
         new = np.zeros_like(centroids)
         for key in sorted(groups):
             number, lang = key.split(":", 1)
@@ -146,8 +188,8 @@ def topic_of_text(text: Column, lang: Column, model: Topics) -> Column:
     @F.arrow_udf("tokens long, topic string")
     def found(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, langs in batches:
-            rows = common.byte_texts(texts)
-            vectors = np.array([vector_of(t) for t in rows], float).reshape(-1, DIMS)
-            yield pa.StructArray.from_arrays([pa.array([len(t.split()) for t in rows], pa.int64()), pa.array(names(model.of(vectors, langs.to_pylist())), pa.string())], ["tokens", "topic"])
+            tokens, buckets = counted(common.byte_texts(texts))
+            numbers = model.of(vectors_of(buckets).astype(float), langs.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(names(numbers), pa.string())], ["tokens", "topic"])
 
     return found(text, lang)

@@ -1,13 +1,13 @@
 import math
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparklog.llm import mixing
+from sparklog.llm import topics as topic_model
 from sparklog.llm.queries import op3_mixing
 
 from .helpers import SF, no_documents, odd_documents, table
@@ -97,14 +97,23 @@ def made(rnd, subject, lang, n):
     return " ".join(rnd.choice([f"{lang}{chr(97 + subject)}{chr(97 + rnd.randint(0, 25))}word", "the", "of", "a"]) for _ in range(n))
 
 
+def plain_buckets(texts):
+    """Content words by bucket, one byte at a time."""
+    out = []
+    for text in texts:
+        counts = [0] * 64
+        for w in re.findall("[A-Za-z\x80-\U0010ffff]+", text):
+            low = bytes(b + 32 if 65 <= b <= 90 else b for b in w.encode())
+            if len(low) >= 4:
+                counts[(sum(int(topic_model.GEAR[b]) * int(topic_model.PLACES[i % 64]) for i, b in enumerate(low)) & 0xFFFFFFFF) >> 26] += 1
+        out.append(counts)
+    return out
+
+
 def plain_topics(rows, topics=8, rounds=5):
     """k-means one document at a time over (text, lang)."""
     vectors = []
-    for text, _ in rows:
-        counts = [0] * 64
-        for w in re.findall("[a-z\x80-\uffff]+", text.lower()):
-            if len(w.encode()) >= 4:
-                counts[zlib.crc32(w.encode()) % 64] += 1
+    for counts in plain_buckets([text for text, _ in rows]):
         length = math.sqrt(sum(counts))
         vectors.append([round(math.sqrt(c) * 127 / length) if length else 0 for c in counts])
     means = {}
@@ -126,6 +135,18 @@ def plain_topics(rows, topics=8, rounds=5):
     return [f"t{pick(m)}" if any(v) else "none" for v, m in zip(vectors, moved, strict=True)]
 
 
+def test_counts_of_words_in_blocks(monkeypatch):
+    rnd = random.Random(2)
+    texts = ["", "a", " \t\n", "Été à la plage 日本語", "x" * 300 + " it", "don't Stop-now 12ab34"] + [made(rnd, k, "q", rnd.randint(0, 300)).replace(" the", "\nThe,") for k in range(30)]
+    data = [t.encode() for t in texts]
+    tokens, buckets = topic_model.counted(data)
+    assert tokens.tolist() == [len(t.split()) for t in data]
+    want = plain_buckets(texts)
+    assert buckets.tolist() == want
+    monkeypatch.setattr(topic_model, "BLOCK", 50)
+    assert topic_model.counted(data)[1].tolist() == want and topic_model.counted(data)[0].tolist() == tokens.tolist()
+
+
 def test_topics_against_plain_clustering(spark):
     rnd = random.Random(6)
     rows = [(made(rnd, i % 4, "xy"[i % 2], rnd.randint(10, 60)), "xy"[i % 2]) for i in range(160)] + [("a of", "x"), ("", None)]
