@@ -37,7 +37,7 @@ from sparklog.llm import common
 
 MAGIC = b"SLTB"
 RANGE, PREFIX = 256, 64
-BITS, LOW, LANES, BLOCK, CHECK = 20, 1 << 31, 32, 32768, 512
+LOW, LANES, BLOCK, CHECK = 1 << 31, 32, 32768, 512
 HEAD = struct.Struct("<4sHHIIQQIIII")
 TABLE_SCHEMA = "part int, seq int, n_docs long, n_tokens long, first_doc long, image binary"
 #: Letters, then other characters than letters, digits, underscores, white space and apostrophes.
@@ -45,7 +45,12 @@ LETTERS_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 DOC_SCHEMA = "part int, seq int, doc long, doc_id long, at long, piece_start long, n_tokens long"
 
 
-def normalised(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
+def bits_for(symbols: int) -> int:
+    """Bits of the frequencies' sum: tables of 18 stay in a core's cache; more symbols need more."""
+    return max(18, symbols.bit_length() + 2)
+
+
+def normalised(counts: np.ndarray, bits: int = 18) -> np.ndarray:
     """Frequencies that sum to 2**bits, at least 1 each, as near to the counts as rounding lets them be."""
     total = 1 << bits
     if len(counts) > total:
@@ -73,7 +78,8 @@ def encode_image(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray
     place = np.zeros(int(symbols[-1]) + 1, np.int64)
     place[symbols] = np.arange(len(symbols))
     index = place[ids]
-    freq = normalised(counts).astype(np.uint64)
+    bits = bits_for(len(symbols))
+    freq = normalised(counts, bits).astype(np.uint64)
     cum = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
     block = min(BLOCK, -(-n // LANES) * LANES)
     steps, blocks = block // LANES, -(-n // block)
@@ -87,13 +93,13 @@ def encode_image(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray
     for t in range(steps - 1, -1, -1):
         at = by_step[t]
         f = freq[at]
-        full = state >= (f << np.uint64(63 - BITS))
+        full = state >= (f << np.uint64(63 - bits))
         sent.append(state[full].astype(np.uint32))
         owner.append(np.nonzero(full)[0].astype(np.uint16 if blocks < 65536 else np.int64))  # 16 bits sort by radix
         read[t] = full.sum(axis=1)
         state = np.where(full, state >> np.uint64(32), state)
         q = state // f
-        state = (q << np.uint64(BITS)) + (state - q * f) + cum[at]
+        state = (q << np.uint64(bits)) + (state - q * f) + cum[at]
         if t % CHECK == 0:
             states[t // CHECK] = state
     words, owners = np.concatenate(sent[::-1]), np.concatenate(owner[::-1])
@@ -129,7 +135,8 @@ class Image:
         self.symbols = np.cumsum(table[:symbols], dtype=np.uint32)
         self.freq = table[symbols:].astype(np.uint64)
         self.cum = np.concatenate(([0], np.cumsum(self.freq)[:-1])).astype(np.uint64)
-        self.slots = np.repeat(np.arange(symbols, dtype=np.int64), self.freq.astype(np.int64))
+        self.bits = bits_for(symbols)
+        self.slots = np.repeat(np.arange(symbols, dtype=np.int32), self.freq.astype(np.int64))
         at += a
         rows = zlib.decompress(data[at : at + b])
         nulls = np.frombuffer(rows, np.uint8, docs, 16 * docs)
@@ -151,12 +158,12 @@ class Image:
         """Ids of blocks lo..hi from checkpoint `mark` of each on: (blocks, ids), with padding after the last id."""
         hi = self.blocks if hi is None else hi
         state, at = self.states[mark, lo:hi].astype(np.uint64), self.first[lo:hi] + self.marked[mark, lo:hi]
-        out = np.empty((self.steps - mark * self.check, hi - lo, self.lanes), np.int64)
+        out = np.empty((self.steps - mark * self.check, hi - lo, self.lanes), np.int32)
+        mask, shift = np.uint64((1 << self.bits) - 1), np.uint64(self.bits)
         for t in range(len(out)):
-            slot = state & np.uint64((1 << BITS) - 1)
-            s = self.slots[slot.astype(np.int64)]
-            out[t] = s
-            state = self.freq[s] * (state >> np.uint64(BITS)) + slot - self.cum[s]
+            slot = state & mask
+            s = out[t] = self.slots[slot.astype(np.int64)]
+            state = self.freq[s] * (state >> shift) + slot - self.cum[s]
             low = state < LOW
             taken = at[:, None] + np.cumsum(low, axis=1) - 1
             state[low] = (state[low] << np.uint64(32)) | self.words[taken[low]].astype(np.uint64)
@@ -201,6 +208,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize  # each use of .model makes a new object
         self.known, self.older = Pieces(self.piece), {}
         self.by_piece = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
         # The alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
@@ -219,7 +227,7 @@ class Encoder:
         if not letters.isascii():
             letters = letters.encode().decode("latin-1").translate(self.bytes_as)
         as_bytes = self.as_bytes
-        return b"".join([as_bytes[t.id] for t in self.tokenizer.model.tokenize(lead + letters)])
+        return b"".join([as_bytes[t.id] for t in self.tokenize(lead + letters)])
 
     def line(self, start: str) -> bytes | None:
         """What follows a line break, up to the next one; None if it is not letters and marks."""
@@ -241,6 +249,9 @@ class Encoder:
         if w in self.older:
             return self.older[w]
         if w.isalpha():
+            if w.isascii():
+                as_bytes = self.as_bytes
+                return b"".join([as_bytes[t.id] for t in self.tokenize(self.space + w)])
             return self.word(w, self.space)
         if m := LETTERS_MARKS.fullmatch(w):
             return self.known[m[1]] + self.mark(m[2])

@@ -120,4 +120,5 @@ def test_image_round_trip_and_checkpoints(n):
 def test_frequencies():
     for counts in ([1], [1] * 5000, [10**9, 1, 1], list(range(1, 3000))):
         freq = tb.normalised(np.array(counts))
-        assert freq.sum() == 1 << tb.BITS and freq.min() >= 1
+        assert freq.sum() == 1 << 18 and freq.min() >= 1
+    assert (tb.bits_for(50_000), tb.bits_for(250_000)) == (18, 20)
