@@ -209,7 +209,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize  # each use of .model makes a new object
-        self.known, self.older = Pieces(self.piece), {}
+        self.known, self.older, self.starts = Pieces(self.piece), {}, Pieces(self.line)
         self.by_piece = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
         # The alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -259,7 +259,7 @@ class Encoder:
             return None
         if "\n" in w:  # a line break between two other characters is a pre-token
             first, *others = w.split("\n")
-            lines = [*map(self.line, others)]
+            lines = [*map(self.starts.__getitem__, others)]
             if LETTERS_MARKS.fullmatch(first) and None not in lines:
                 return self.known[first] + b"".join([self.mark("\n") + x for x in lines])
         return self.whole([f" {w}"])[0]
@@ -271,7 +271,7 @@ class Encoder:
         out = []
         for text in texts:
             if len(self.known) > self.CACHE:
-                self.known, self.older = Pieces(self.piece), self.known
+                self.known, self.older, self.starts = Pieces(self.piece), self.known, Pieces(self.line)
             head, *pieces = text.split(" ")
             try:
                 if pieces and (not head or head[-1].isspace()):
@@ -289,7 +289,9 @@ class Pieces(dict):
         self.learn = learn
 
     def __missing__(self, w: str) -> bytes | None:
-        found = self[w] = self.learn(w)
+        found = self.learn(w)
+        if "\n" not in w:  # pieces over a line break hardly come again
+            self[w] = found
         return found
 
 
