@@ -273,6 +273,18 @@ def run_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([*counts.items(), *((r, -1) for r in found.failures)], "rule_id string, alerts long")
 
 
+def known_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New error signatures by the store's table of known ones, which three inserts and looks extend."""
+    own, store = events(spark, sf_dir), EventStore(spark, f"{work_folder(spark)}/store")
+    own = own.withColumn("message", F.when(F.col("line_number") % 11 == 0, F.concat("message", F.lit(" "), F.date_format("timestamp", "EEEE"), F.lit(" "), "service")).otherwise(F.col("message")))
+    for k in range(3):
+        store.insert(own.filter(F.col("line_number") % 3 == k))
+        store.known_signatures()
+    config = rules.RuleConfig("n", "new_error_signature", parameters={"window_min": 60 * 24 * 16})
+    found = rules.new_signatures(rules.Context(store.events(), config, NOW, known=store.known_signatures()))
+    return found.select("signature", F.unix_micros("first_seen").alias("micros"))
+
+
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(analytics.severity_counts(events(spark, sf_dir)).items()), "severity string, n long")
 
@@ -338,6 +350,8 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
     "run_all_rules": (run_all_rules, EV + """SELECT 'missing_heartbeat' AS rule_id, count(*) AS alerts FROM (SELECT service FROM ev GROUP BY service HAVING max(timestamp) < TIMESTAMP '2024-01-30 23:00:00')
       UNION ALL SELECT 'event_burst', count(*) FROM (SELECT count(*) FILTER (timestamp >= TIMESTAMP '2024-01-30') AS r, count(*) FILTER (timestamp < TIMESTAMP '2024-01-30') AS b FROM ev WHERE timestamp >= TIMESTAMP '2024-01-25' AND timestamp < TIMESTAMP '2024-01-31') WHERE b > 0 AND r >= b * 0.2 * 0.2
       UNION ALL SELECT 'latency_threshold', count(*) FROM (SELECT service FROM ev WHERE duration_ms IS NOT NULL GROUP BY service HAVING count(*) >= 5) UNION ALL SELECT 'error_rate_spike', -1"""),
+    "known_signatures": (known_signatures, EV + f"""SELECT {sig("(CASE WHEN line_number % 11 = 0 THEN message || ' ' || dayname(timestamp) || ' ' || service ELSE message END)")} AS signature, epoch_us(min(timestamp)) AS micros
+      FROM ev WHERE severity IN ('ERROR', 'FATAL', 'CRITICAL') GROUP BY 1 HAVING min(timestamp) >= TIMESTAMP '2024-01-04' ORDER BY 2, 1 LIMIT 50"""),
     "severity_counts": (severity_counts, f"{EV} SELECT severity, count(*) AS n FROM ev GROUP BY severity"),
     "fetch_by_correlation": (lambda s, d: analytics.fetch_by_correlation(events(s, d), "t3", None, "s11").drop("span_id", "parent_span_id"), f"{EV} SELECT event_id, source_alias, source_path, line_number, timestamp, severity, message, service, trace_id, request_id, session_id, duration_ms, status_code FROM ev WHERE trace_id = 't3' OR session_id = 's11'"),
     "source_summary": (lambda s, d: analytics.source_summary(events(s, d)), f"{EV} SELECT source_path, max(source_alias) AS source_alias, count(*) AS events, count(*) FILTER (severity = 'ERROR') AS errors, min(timestamp) AS first_event, max(timestamp) AS last_event FROM ev GROUP BY source_path"),

@@ -37,12 +37,13 @@ def export_query(events: DataFrame, query: str, path: str, fmt: str, base_limit:
 
 
 def session_report(events: DataFrame, alerts: list[dict[str, Any]] | None = None, now: datetime | None = None) -> dict[str, Any]:
-    """Counts, time range, severities, top 10 services, top 20 error signatures, alerts. All lists are bounded."""
+    """Counts, time range, 100 sources of most events, severities, top 10 services, top 20 error signatures, alerts. All lists are bounded."""
     total = analytics.overview(events).first()
     return {
         "generated_at": (now or datetime.now(UTC)).isoformat(),
         "events": total["events"],
         "time_range": {"start": _iso(total["first_event"]), "end": _iso(total["last_event"])},
+        "sources": [r.asDict() | {"first_event": _iso(r["first_event"]), "last_event": _iso(r["last_event"])} for r in analytics.source_summary(events).orderBy(F.desc("events"), "source_path").limit(100).collect()],
         "severity": analytics.severity_counts(events),
         "top_services": [r.asDict() for r in analytics.top_services(events, 10).collect()],
         "top_error_signatures": [r.asDict() | {"first_seen": _iso(r["first_seen"]), "last_seen": _iso(r["last_seen"])} for r in analytics.top_error_signatures(events, 20).collect()],
@@ -63,6 +64,7 @@ def report_markdown(report: dict[str, Any]) -> str:
     cell = lambda x: str(x).replace("|", "\\|").replace("\n", " ")
     lines = ["# Session report", "", f"Generated {report['generated_at']}", "", f"Events: {report['events']}", f"From {report['time_range']['start']} to {report['time_range']['end']}"]
     tables = [
+        ("Sources", ("Source", "Events"), [(r["source_alias"], r["events"]) for r in report["sources"]]),
         ("Severity", ("Severity", "Events"), list(report["severity"].items())),
         ("Top services", ("Service", "Events"), [(r["service"], r["count"]) for r in report["top_services"]]),
         ("Top error signatures", ("Signature", "Events"), [(r["signature"][:60], r["total"]) for r in report["top_error_signatures"][:10]]),

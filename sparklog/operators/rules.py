@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparklog.functions import as_utc, is_error, moment, signature, utc_text
-from sparklog.operators.analytics import between
+from sparklog.operators.analytics import between, error_signatures
 
 ALERT_COLUMNS = ("id", "rule_id", "rule_name", "severity", "fired_at", "title", "explanation", "threshold", "observed", "time_window", "scope")
 MOST_SIGNATURES = 50
@@ -38,10 +38,13 @@ class RuleConfig:
 
 @dataclass(frozen=True)
 class Context:
+    """known: signature and first_seen of all errors (EventStore.known_signatures); None: found from the events."""
+
     events: DataFrame
     config: RuleConfig
     now: datetime
     workspace_id: str = ""
+    known: DataFrame | None = None
 
     def get(self, name: str) -> Any:
         return self.config.parameters.get(name, DEFAULTS[self.config.rule_id].get(name))
@@ -131,6 +134,10 @@ def error_rate_spike(ctx: Context) -> DataFrame:
 def new_signatures(ctx: Context) -> DataFrame:
     """signature, first_seen of error signatures in the window that no earlier error has."""
     start = ctx.ago(ctx.get("window_min"))
+    if ctx.known is not None:  # only the window's errors are read
+        found = error_signatures(ctx.events.filter(ctx.within(start))).select("signature", "first_seen").filter("signature <> ''")
+        found = found.join(ctx.known.filter(~between(ctx.known, start, None, "first_seen")).select("signature"), "signature", "left_anti")
+        return found.orderBy("first_seen", "signature").limit(MOST_SIGNATURES)
     inside, before = ctx.within(start), ~ctx.within(start)
     messages = ctx.events.filter(is_error() & F.col("timestamp").isNotNull()).groupBy("message").agg(F.count_if(before).alias("old"), F.min(F.when(inside, F.col("timestamp"))).alias("seen"))
     found = messages.groupBy(signature(F.col("message")).alias("signature")).agg(F.sum("old").alias("old"), F.min("seen").alias("first_seen"))
@@ -198,14 +205,14 @@ class Evaluation:
     failures: dict[str, str]  # rule id to message
 
 
-def run_all(events: DataFrame, rules: Iterable[RuleConfig], now: datetime | None = None, workspace_id: str = "") -> Evaluation:
+def run_all(events: DataFrame, rules: Iterable[RuleConfig], now: datetime | None = None, workspace_id: str = "", known: DataFrame | None = None) -> Evaluation:
     """Alerts of all enabled known rules; a rule that fails does not stop the others and is reported."""
     when, alerts, failures = now or datetime.now(UTC), [], {}
     for config in rules:
         if not config.enabled or config.rule_id not in RULES:
             continue
         try:
-            alerts += [r.asDict() for r in RULES[config.rule_id](Context(events, config, when, workspace_id)).collect()]  # a row a service or signature
+            alerts += [r.asDict() for r in RULES[config.rule_id](Context(events, config, when, workspace_id, known)).collect()]  # a row a service or signature
         except (PySparkException, ValueError, TypeError) as e:
             failures[config.rule_id] = str(e)
     return Evaluation(alerts, failures)

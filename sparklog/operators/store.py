@@ -4,7 +4,8 @@ Within source and date, files are sorted by time, so that row-group statistics p
 event_id and leaves out the ids that the store has. An id hashes its event's path and byte offset, so only stored events
 of the batch's sources and inside its range of offsets can have it: an anti join on those, which for appended lines
 reads next to nothing. Counts come from the rows that were written. Source statistics are an append-only table of
-runs, summed when read; settings (enabled) are rows of it too.
+runs, summed when read; settings (enabled) are rows of it too. So are the known error signatures, a small table that
+follows the files of events by their time of writing.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparklog.functions import as_utc, utc_date
+from sparklog.operators.analytics import error_signatures
 from sparklog.schema import EVENT_COLUMNS, EVENT_SCHEMA
 
 COUNTERS = ("total_events", "inserted_events", "unstructured_lines", "parse_errors", "rejected_lines")
@@ -27,6 +29,9 @@ RUN_SCHEMA = (
     "run_id string, source_id long, path string, alias string, enabled boolean, parser string, size_bytes long, mtime_ns long, sample_hash string, content_kind string, ingested_at timestamp, "
     "total_events long, inserted_events long, unstructured_lines long, parse_errors long, rejected_lines long, last_byte_offset long, first_event_at timestamp, last_event_at timestamp, deleted boolean"
 )
+SIGNATURE_SCHEMA = "signature string, first_seen timestamp, covered timestamp"
+#: Files of a writer with a slower clock are seen again this long.
+OVERLAP = 600_000_000  # microseconds
 #: Sources of a batch that are named in the scan of the store; more are found by a join.
 NAMED_SOURCES = 1000
 
@@ -117,10 +122,29 @@ class EventStore:
     def record_run(self, **run: Any) -> None:
         self.record_runs([run])
 
-    def has_runs(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs")
+    def known_signatures(self) -> DataFrame:
+        """signature and first_seen of all stored errors; reads only files written since the last call, and adds theirs."""
+        held = self._read("signatures", SIGNATURE_SCHEMA)
+        if self._has("events"):
+            covered = held.agg(F.max(F.unix_micros("covered"))).first()[0]
+            written = F.col("_metadata.file_modification_time")
+            fresh = self.events() if covered is None else self.events().filter(written > F.timestamp_micros(F.lit(covered - OVERLAP)))
+            latest = fresh.agg(F.max(F.unix_micros(written))).first()[0]
+            if latest is not None and latest != covered:
+                until = F.timestamp_micros(F.lit(latest))
+                found = error_signatures(fresh.filter(F.col("timestamp").isNotNull())).select("signature", "first_seen", until.alias("covered"))
+                mark = self.spark.range(1).select(F.lit("").alias("signature"), F.lit(None).cast("timestamp").alias("first_seen"), until.alias("covered"))
+                found.unionByName(mark).coalesce(1).write.mode("append").parquet(f"{self.path}/signatures")
+                held = self._read("signatures", SIGNATURE_SCHEMA)
+        return held.filter("first_seen is not null").groupBy("signature").agg(F.min("first_seen").alias("first_seen"))
+
+    def _has(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path))
 
+    def has_runs(self) -> bool:
+        return self._has("runs")
+
     def sources(self) -> DataFrame:
         """A row a source: counters summed over runs since it was last deleted, latest settings, first and last event."""
         runs = self._read("runs", RUN_SCHEMA)
@@ -154,4 +178,5 @@ class EventStore:
     def delete_source(self, path: str) -> None:
         """Drop a source's partitions and mark its runs deleted."""
         self.drop(f"{self.path}/events/source_id={self.source_id(path)}")
+        self.drop(f"{self.path}/signatures")  # other sources' are found anew
         self.record_run(path=path, deleted=True)

@@ -374,7 +374,7 @@ def start_tail(
                 finally:
                     events.unpersist()
                 if rules and on_alerts:
-                    on_alerts(run_all(store.events(), rules).alerts)
+                    on_alerts(run_all(store.events(), rules, known=store.known_signatures()).alerts)
             counts.save(number, after)
         finally:
             lines.unpersist()
