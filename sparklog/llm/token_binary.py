@@ -19,7 +19,6 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import struct
@@ -205,7 +204,6 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.set_threshold(100_000, 50, 100)  # what the cache holds is large and has no cycles
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -270,20 +268,17 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         if not self.by_piece:
             return self.whole(texts)
-        cut = [t.split(" ") for t in texts]
-        out, rest = [], []
-        for k, (head, (first, *pieces)) in enumerate(zip(self.whole([c[0] for c in cut]), cut, strict=True)):
+        out = []
+        for text in texts:
             if len(self.known) > self.CACHE:
                 self.known, self.older, self.starts = Pieces(self.piece), self.known, Pieces(self.line)
+            head, *pieces = text.split(" ")
             try:
-                if pieces and (not first or first[-1].isspace()):
+                if pieces and (not head or head[-1].isspace()):
                     raise TypeError
-                out.append(head + b"".join(map(self.known.__getitem__, pieces)))
+                out.append(self.whole([head])[0] + b"".join(map(self.known.__getitem__, pieces)))
             except TypeError:  # a piece that cannot be encoded alone
-                out.append(b"")
-                rest.append(k)
-        for k, ids in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
-            out[k] = ids
+                out += self.whole([text])
         return out
 
 
