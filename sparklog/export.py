@@ -15,7 +15,6 @@ from sparklog.operators.query import frame
 from sparklog.schema import ERRORS
 
 FORMATS = ("jsonl", "csv", "parquet")
-EXPORT_LIMIT = 50_000
 ERRORS_QUERY = f"severity IN ({', '.join(ERRORS)})"
 
 
@@ -32,8 +31,9 @@ def export(rows: DataFrame, path: str, fmt: str, mode: str = "error") -> None:
     writer.option("ignoreNullFields", "false").json(path) if fmt == "jsonl" else writer.option("header", True).option("escape", '"').csv(path)
 
 
-def export_query(events: DataFrame, query: str, path: str, fmt: str, base_limit: int = EXPORT_LIMIT, mode: str = "error") -> None:
-    export(frame(events, query or ERRORS_QUERY, base_limit=base_limit), path, fmt, mode)
+def export_query(events: DataFrame, query: str, path: str, fmt: str, base_limit: int | None = None, mode: str = "error") -> None:
+    """Write all rows of a query, or as many as it or base_limit names."""
+    export(frame(events, query or ERRORS_QUERY, base_limit=base_limit, max_limit=None), path, fmt, mode)
 
 
 def session_report(events: DataFrame, alerts: list[dict[str, Any]] | None = None, now: datetime | None = None) -> dict[str, Any]:

@@ -29,14 +29,14 @@ class QueryResult:
     truncated: bool  # as many rows as the limit lets through
 
 
-def bound(events: DataFrame | None, query: str | Query, base_limit: int = BASE_LIMIT, max_limit: int = MAX_LIMIT) -> Bound:
+def bound(events: DataFrame | None, query: str | Query, base_limit: int | None = BASE_LIMIT, max_limit: int | None = MAX_LIMIT) -> Bound:
     try:
         return bind(parse(query) if isinstance(query, str) else query, events, base_limit=base_limit, max_limit=max_limit)
     except (QuerySyntaxError, BindError) as e:
         raise QueryError(str(e)) from e
 
 
-def frame(events: DataFrame, query: str | Query, **limits: int) -> DataFrame:
+def frame(events: DataFrame, query: str | Query, **limits: int | None) -> DataFrame:
     """The query's result as a DataFrame that has not run."""
     return bound(events, query, **limits).frame
 
@@ -46,7 +46,7 @@ def display(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c).alias(label) for c, label in DISPLAY.items() if c in rows.columns])
 
 
-def execute(events: DataFrame, query: str | Query, **limits: int) -> QueryResult:
+def execute(events: DataFrame, query: str | Query, **limits: int | None) -> QueryResult:
     plan = bound(events, query, **limits)
     began = time.perf_counter()
     try:
@@ -55,7 +55,7 @@ def execute(events: DataFrame, query: str | Query, **limits: int) -> QueryResult
         raise QueryError(f"Query failed: {e}") from e
     took = (time.perf_counter() - began) * 1000
     text = plan.frame._jdf.queryExecution().simpleString()
-    return QueryResult(list(plan.columns), rows, plan.is_aggregation, len(rows), took, text, not plan.is_aggregation and len(rows) >= plan.limit)
+    return QueryResult(list(plan.columns), rows, plan.is_aggregation, len(rows), took, text, not plan.is_aggregation and plan.limit is not None and len(rows) >= plan.limit)
 
 
 def validate(query: str) -> tuple[bool, str]:

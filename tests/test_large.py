@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from sparklog import driver_queries
+from sparklog import driver_queries, export
 from sparklog.driver_events import events
+from sparklog.operators.query import QueryError, frame
 from sparklog.operators.store import EventStore
 
 SF = "/root/testdata/sf0.001"
@@ -14,6 +15,15 @@ def sorted_rows(rows, columns, names):
     return sorted(repr([r[names.index(c)] for c in columns]) for r in rows)
 
 
+def matches(spark, name, folder):
+    df = driver_queries.queries()[name](spark, folder)
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{folder}/events.parquet'")
+    want = duck.sql(driver_queries.oracle_sql()[name])
+    columns = sorted(df.columns)
+    return sorted_rows(df.collect(), columns, df.columns) == sorted_rows(want.fetchall(), columns, want.columns)
+
+
 @pytest.fixture
 def no_broadcast(spark):
     held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -31,9 +41,25 @@ def test_insert_of_known_events_counts_none(spark, tmp_path, no_broadcast):
 
 @pytest.mark.parametrize("name", ["insert_counts"])
 def test_queries_that_insert_again(spark, no_broadcast, name):
-    df = driver_queries.queries()[name](spark, SF)
-    duck = duckdb.connect()
-    duck.sql(f"create view events as select * from '{SF}/events.parquet'")
-    want = duck.sql(driver_queries.oracle_sql()[name])
-    columns = sorted(df.columns)
-    assert sorted_rows(df.collect(), columns, df.columns) == sorted_rows(want.fetchall(), columns, want.columns)
+    assert matches(spark, name, SF)
+
+
+@pytest.fixture(scope="module")
+def large(tmp_path_factory):
+    """A folder of 300,000 events, 60,000 errors of which."""
+    folder = tmp_path_factory.mktemp("large")
+    duckdb.connect().sql(f"copy (select e.* replace (event_id + 1000 * k as event_id) from '{SF}/events.parquet' e, range(300) r(k)) to '{folder}/events.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["export_csv"])
+def test_queries_beyond_interactive_limits(spark, large, name):
+    assert matches(spark, name, large)
+
+
+def test_export_takes_the_limit_that_a_query_names(spark, large, tmp_path):
+    export.export_query(events(spark, large), "| limit 110000", str(tmp_path / "some"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "some")).count() == 110_000
+    assert frame(events(spark, large), "").count() == 1000
+    with pytest.raises(QueryError):
+        export.export_query(events(spark, large), "| limit 5000000000", str(tmp_path / "none"), "parquet")
