@@ -52,7 +52,7 @@ def large(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["export_csv", "export_jsonl", "export_parquet"])
+@pytest.mark.parametrize("name", ["export_csv", "export_jsonl", "export_parquet", "literal_types"])
 def test_queries_beyond_interactive_limits(spark, large, name):
     assert matches(spark, name, large)
 
