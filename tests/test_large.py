@@ -39,7 +39,7 @@ def test_insert_of_known_events_counts_none(spark, tmp_path, no_broadcast):
     assert store.events().count() == n
 
 
-@pytest.mark.parametrize("name", ["insert_counts", "source_table", "ingest_files"])
+@pytest.mark.parametrize("name", ["insert_counts", "source_table", "ingest_files", "ingest_then_tail"])
 def test_queries_that_insert_again(spark, no_broadcast, name):
     assert matches(spark, name, SF)
 
