@@ -25,9 +25,9 @@ def export(rows: DataFrame, path: str, fmt: str, mode: str = "error") -> None:
     if fmt == "parquet":
         rows.write.mode(mode).parquet(path)
         return
-    stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     flat = rows.select(*[F.to_json(f.name).alias(f.name) if fmt == "csv" and isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType)) else F.col(f"`{f.name}`") for f in rows.schema])
-    writer = flat.write.mode(mode).option("timestampFormat", stamp)
+    writer = flat.write.mode(mode).option("timestampFormat", f"{stamp}XXX").option("timestampNTZFormat", stamp)
     writer.option("ignoreNullFields", "false").json(path) if fmt == "jsonl" else writer.option("header", True).option("escape", '"').csv(path)
 
 

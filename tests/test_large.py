@@ -2,11 +2,13 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sparklog import driver_queries, export
 from sparklog.driver_events import events
 from sparklog.operators.query import QueryError, frame
 from sparklog.operators.store import EventStore
+from sparklog.schema import ROW_COLUMNS
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,6 +59,17 @@ def test_queries_beyond_interactive_limits(spark, large, name):
     assert matches(spark, name, large)
 
 
+@pytest.mark.parametrize("fmt", ["csv", "jsonl"])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_export_has_every_row_and_value(spark, large, tmp_path, fmt, kind):
+    own = events(spark, large).withColumns({c: F.col(c).cast(kind) for c in ("timestamp", "ingested_at")})
+    want = own.filter("severity = 'ERROR'").select(*ROW_COLUMNS)
+    export.export_query(own, "", str(tmp_path / fmt), fmt)
+    got = spark.read.schema(want.schema).options(**{"header": True, "escape": '"'} if fmt == "csv" else {}).format(fmt.replace("jsonl", "json")).load(str(tmp_path / fmt))
+    assert got.count() == want.count() == 60_300
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_export_takes_the_limit_that_a_query_names(spark, large, tmp_path):
     export.export_query(events(spark, large), "| limit 110000", str(tmp_path / "some"), "parquet")
     assert spark.read.parquet(str(tmp_path / "some")).count() == 110_000
