@@ -59,7 +59,7 @@ def test_queries_beyond_interactive_limits(spark, large, name):
     assert matches(spark, name, large)
 
 
-@pytest.mark.parametrize("fmt", ["csv", "jsonl"])
+@pytest.mark.parametrize("fmt", ["csv", "jsonl", "parquet"])
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
 def test_export_has_every_row_and_value(spark, large, tmp_path, fmt, kind):
     own = events(spark, large).withColumns({c: F.col(c).cast(kind) for c in ("timestamp", "ingested_at")})
