@@ -23,11 +23,14 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +43,8 @@ RANGE, PREFIX = 256, 64
 LOW, LANES, BLOCK, CHECK = 1 << 31, 32, 32768, 512
 HEAD = struct.Struct("<4sHHIIQQIIII")
 TABLE_SCHEMA = "part int, seq int, n_docs long, n_tokens long, first_doc long, image binary"
-#: Letters, then other characters than letters, digits, underscores, white space and apostrophes.
-LETTERS_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+#: ASCII digits and marks without the apostrophe.
+EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha() and chr(c) != "'")
 DOC_SCHEMA = "part int, seq int, doc long, doc_id long, at long, piece_start long, n_tokens long"
 
 
@@ -192,109 +195,167 @@ class Image:
         return np.concatenate(parts)[start - skipped : end - skipped]
 
 
+class Pieces:
+    """Pieces in the order they came, each with its ids in one array."""
+
+    def __init__(self):
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)  # learns what it lacks
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.done = 0  # pieces that have ids
+
+    def fresh(self) -> list[str]:
+        """The pieces that have no ids yet, the last first."""
+        return [*islice(reversed(self.number), len(self.number) - self.done)]
+
+    def put(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.ids = _grown(self.ids, self.used + len(ids))
+        self.start, self.length = (_grown(x, len(self.number)) for x in (self.start, self.length))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
+        self.used += len(ids)
+
+
+def _grown(x: np.ndarray, size: int) -> np.ndarray:
+    return x if size <= len(x) else np.concatenate((x, np.empty(max(size, 2 * len(x)) - len(x), x.dtype)))
+
+
+def _taken(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of ids from each start, one after the other."""
+    at = np.cumsum(length)
+    return ids[np.repeat(start - at + length, length) + np.arange(at[-1] if len(at) else 0)]
+
+
 class Encoder:
-    """Ids of texts by a `tokenizers` file, through a bounded cache of space-led pieces.
+    """Ids of texts by a `tokenizers` file, through a bounded cache of pieces led by a space or a line break.
 
-    A byte-level pre-tokenizer always cuts before a single space between two other characters, so a text is cut there
-    and each distinct piece is encoded once. Letters alone, or before one full stop or comma, go to the library's
-    model directly. A text in which white space meets white space is encoded whole.
+    A byte-level pre-tokenizer always cuts before a single space or line break between two other characters, so a text
+    is cut there and each distinct piece is encoded once. The pieces that a group of texts brings are encoded together:
+    those of letters, ASCII digits and marks go to the library's model, many in one string (`_joins`), the others to the
+    whole tokenizer. A text's first piece is encoded after a line break, whose id is left out. A text in which white space
+    meets white space is encoded whole.
     """
 
-    CACHE = 450_000  # pieces in each of two generations, about 250 bytes a piece
+    CACHE, IDS = 450_000, 8_000_000  # pieces and ids in each of two generations, about 250 bytes a piece
+    GROUP, JOINED = 1 << 21, 64  # bytes of texts taken together; pieces in a string for the model
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.tokenize = self.tokenizer.model.tokenize  # each use of .model makes a new object
-        self.known, self.older, self.starts = Pieces(self.piece), {}, Pieces(self.line)
-        self.by_piece = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
+        cut, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.tokenize = model.tokenize  # each use of .model makes a new object
+        self.known, self.older = Pieces(), Pieces()
         # The alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.bytes_as = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
-        self.space = chr(self.bytes_as[32])
-        self.as_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.marks: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
+        self.alphabet = np.arange(256, dtype="<u2")
+        self.alphabet[[b for b in range(256) if b not in plain]] = np.arange(256, 512 - len(plain))
+        vocab = self.tokenizer.get_vocab()
+        space, line = (chr(self.alphabet[ord(c)]) for c in " \n")
+        self.by_piece = self.tokenizer.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and line in vocab
+        self.joins = self.by_piece and isinstance(model, models.BPE) and not (model.dropout or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix) and self._joins(vocab)
+        self.leads = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.leads[[n for t, n in vocab.items() if t[:1] in (space, line)]] = True
+
+    def _joins(self, vocab: dict[str, int]) -> bool:
+        """Whether the model alone cuts strings of plain pieces where the pre-tokenizer does.
+
+        It joins two pre-tokens only into a token of both; so each such token must have something that no plain piece has.
+        """
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        as_byte = {chr(c): b for b, c in enumerate(self.alphabet.tolist())}
+        high, space = "".join(c for c, b in as_byte.items() if b > 127), chr(self.alphabet[32])
+        inside = re.compile(rf"{space}?(?:[A-Za-z{high}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+)|.").fullmatch
+        for token in vocab:
+            if not inside(token) and token not in added:
+                text = bytes(as_byte.get(c, 0) for c in token).decode(errors="ignore")
+                if not re.search(r"['\x00-\x09\x0b-\x1f\x7f]|\s\s", text) and all(c.isascii() or c.isalpha() for c in text):
+                    return False
+        return True
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def word(self, letters: str, lead: str) -> bytes:
-        """Letters after a space or, with an empty lead, without one."""
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(self.bytes_as)
-        as_bytes = self.as_bytes
-        return b"".join([as_bytes[t.id] for t in self.tokenize(lead + letters)])
-
-    def line(self, start: str) -> bytes | None:
-        """What follows a line break, up to the next one; None if it is not letters and marks."""
-        m = LETTERS_MARKS.fullmatch(start)
-        if start.isalpha() or m:
-            return self.word(m[1] if m else start, "") + (self.mark(m[2]) if m else b"")
-        return None
-
-    def mark(self, marks: str) -> bytes:
-        """A pre-token of other characters than letters, digits and spaces."""
-        if marks not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks = {}
-            self.marks[marks] = self.whole([marks])[0]
-        return self.marks[marks]
-
-    def piece(self, w: str) -> bytes | None:
-        """A space and a piece without spaces; None if it cannot be encoded alone."""
-        if w in self.older:
-            return self.older[w]
-        if w.isalpha():
-            if w.isascii():
-                as_bytes = self.as_bytes
-                return b"".join([as_bytes[t.id] for t in self.tokenize(self.space + w)])
-            return self.word(w, self.space)
-        if m := LETTERS_MARKS.fullmatch(w):
-            return self.known[m[1]] + self.mark(m[2])
-        if not w or w[0].isspace() or w[-1].isspace():
-            return None
-        if "\n" in w:  # a line break between two other characters is a pre-token
-            first, *others = w.split("\n")
-            lines = [*map(self.starts.__getitem__, others)]
-            if LETTERS_MARKS.fullmatch(first) and None not in lines:
-                return self.known[first] + b"".join([self.mark("\n") + x for x in lines])
-        return self.whole([f" {w}"])[0]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if not self.by_piece:
-            return self.whole(texts)
-        out = []
-        for text in texts:
-            if len(self.known) > self.CACHE:
-                self.known, self.older, self.starts = Pieces(self.piece), self.known, Pieces(self.line)
-            head, *pieces = text.split(" ")
-            try:
-                if pieces and (not head or head[-1].isspace()):
-                    raise TypeError
-                out.append(self.whole([head])[0] + b"".join(map(self.known.__getitem__, pieces)))
-            except TypeError:  # a piece that cannot be encoded alone
-                out += self.whole([text])
+        return [np.array(x.ids, np.uint32) for x in found]
+
+    def joined(self, pieces: list[str]) -> np.ndarray:
+        """Ids of plain pieces in a row."""
+        tokenize, ids = self.tokenize, []
+        for lo in range(0, len(pieces), self.JOINED):
+            text = " ".join(["", *pieces[lo : lo + self.JOINED]]).replace(" \n", "\n")
+            ids += [t.id for t in tokenize(self.alphabet[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le"))]
+        return np.array(ids, np.uint32)
+
+    def learn(self) -> None:
+        """Give the fresh pieces their ids; a length of -1 is that of a piece that cannot be encoded alone."""
+        known, before = self.known, self.older.number
+        old, plain, other, bad = ([], []), ([], []), ([], []), []
+        for n, w in zip(range(len(known.number) - 1, -1, -1), known.fresh(), strict=False):
+            if w in before:
+                kind, x = old, before[w]
+            else:
+                bare = w.removeprefix("\n")
+                if not bare or bare[0].isspace() or bare[-1].isspace():
+                    bad.append(n)
+                    continue
+                simple = self.joins and (bare.isalpha() or bare.strip(EDGES).isalpha() or (bare.isascii() and bare.isprintable() and "'" not in bare))
+                kind, x = (plain, w) if simple else (other, w if w[0] == "\n" else f" {w}")
+            kind[0].append(n)
+            kind[1].append(x)
+        if old[0]:
+            length = self.older.length[old[1]]
+            known.put(old[0], _taken(self.older.ids, self.older.start[old[1]], np.maximum(length, 0)), length.clip(0))
+            known.length[old[0]] = length
+        if plain[0]:
+            ids = self.joined(plain[1])
+            edges = np.flatnonzero(self.leads[ids])
+            if len(edges) != len(plain[0]):
+                raise ValueError(f"{len(plain[0])} pieces were encoded as {len(edges)}")
+            known.put(plain[0], ids, np.diff(edges, append=len(ids)))
+        if other[0]:
+            found = self.whole(other[1])
+            known.put(other[0], np.concatenate(found), np.array([*map(len, found)]))
+        known.put(bad, np.empty(0, np.uint32), np.zeros(len(bad), np.int64))
+        known.length[bad] = -1
+        known.done = len(known.number)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """32-bit ids of each text; null counts as empty."""
+        return [*self.encoded(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)]
+
+    def encoded(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = pc.binary_length(texts).to_numpy()
+        edges = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // self.GROUP, prepend=-1, append=-1)).tolist()
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield from self.group(texts[lo:hi]) if self.by_piece else self.whole(texts[lo:hi].to_pylist())
+
+    def group(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.known.number) > self.CACHE or self.known.used > self.IDS:
+            self.known, self.older = Pieces(), self.known
+        known = self.known
+        nothing, line = (pa.scalar(x, texts.type) for x in ("", "\n"))
+        rows = pc.split_pattern(pc.binary_join_element_wise(nothing, pc.replace_substring(texts, "\n", " \n"), line), " ")
+        sizes, pieces = pc.list_value_length(rows).to_numpy(), rows.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(known.number.__getitem__, distinct), np.int64, len(distinct))
+        if known.done < len(known.number):
+            self.learn()
+        at = pieces.indices.to_numpy()
+        start, length = known.start[numbers][at], known.length[numbers][at]
+        first = np.cumsum(sizes) - sizes
+        alone = np.minimum.reduceat(length, first) < 0
+        length[np.repeat(alone, sizes)] = 0
+        start[first] += 1
+        length[first[~alone]] -= 1
+        out = np.split(_taken(known.ids, start, length), np.cumsum(np.add.reduceat(length, first))[:-1])
+        for k in np.flatnonzero(alone).tolist():
+            out[k] = self.whole([texts[k].as_py()])[0]
         return out
 
 
-class Pieces(dict):
-    """A dict that learns what it lacks."""
-
-    def __init__(self, learn: Callable[[str], bytes | None]):
-        self.learn = learn
-
-    def __missing__(self, w: str) -> bytes | None:
-        found = self.learn(w)
-        if "\n" not in w:  # pieces over a line break hardly come again
-            self[w] = found
-        return found
-
-
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
     """The process's encoder: Spark's Python workers keep it, with its cache, from task to task."""
@@ -308,26 +369,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encoded, end = encoder(tokenizer).encoded, np.array([end_id], np.uint32)
         part, seq, doc_ids, found, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in found], np.int64)
-            image = encode_image(doc_ids, lengths, np.frombuffer(b"".join(found), "<u4"))
+            lengths = np.array([len(x) + 1 for x in found], np.int64)
+            image = encode_image(doc_ids, lengths, np.concatenate([x for ids in found for x in (ids, end)]))
             row = {"part": part, "seq": seq, "n_docs": len(doc_ids), "n_tokens": int(lengths.sum()), "first_doc": doc_ids[0], "image": image}
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_doc", pa.int64()), ("image", pa.binary())])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                for doc, ids in zip(some.column(0).to_pylist(), encoded(common.str_texts(some.column(1))), strict=True):
-                    doc_ids.append(doc)
-                    found.append(ids + end)
-                    held += len(ids) // 4 + 1
-                    if held >= shard_tokens:
-                        yield shard()
-                        seq, doc_ids, found, held = seq + 1, [], [], 0
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
+                doc_ids.append(doc)
+                found.append(ids)
+                held += len(ids) + 1
+                if held >= shard_tokens:
+                    yield shard()
+                    seq, doc_ids, found, held = seq + 1, [], [], 0
         if doc_ids:
             yield shard()
 

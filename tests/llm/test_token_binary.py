@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from sparklog.llm import token_binary as tb
 from sparklog.llm.queries import op1_token_binary, tokenizer_file
@@ -99,6 +99,38 @@ def test_pieces_equal_whole_texts(plain):
         assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == plain(t)
 
 
+def test_pieces_are_learnt_many_a_call(plain):
+    encoder, calls = tb.Encoder(PATH), []
+    tokenize = encoder.tokenize
+    encoder.tokenize = lambda text: calls.append(text) or tokenize(text)
+    text = " ".join(f"word{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}," for k in range(3000))
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == plain(text)
+    assert 0 < len(calls) < 100
+
+
+def test_random_pieces_in_small_groups_and_caches(plain):
+    rnd = np.random.default_rng(8)
+    parts = ["a", "Zo", "é", "ñandú", "日本", "ª", "²", "½", "’", "…", "—", "\u0301", "😀", "'", "'s", "'ll", ".", ",", '"', "_", "-", "7", "42", "٣", "\n", "\n", "\t", "\r\n", "\u00a0", "\x1c", "\x00", "<|endoftext|>", " ", " ", " ", " ", " ", " "]
+    texts = ["".join(rnd.choice(parts, rnd.integers(0, 12))) for _ in range(3000)] + ["", None, " ".join(["x"] * 3000), "y" * 3000]
+    encoder = tb.Encoder(PATH)
+    encoder.CACHE, encoder.GROUP, encoder.JOINED = 50, 200, 5
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("merge", [("a", "b"), ("a", ","), ("a", "Ġ"), ("Ċ", "a"), ("1", "a"), ("©", "."), ("a", "\'")])
+def test_merges_over_cuts(tmp_path, merge):
+    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+    model = models.BPE({t: k for k, t in enumerate([*alphabet, "".join(merge)])}, [merge])
+    library = Tokenizer(model)
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    library.save(path := str(tmp_path / "t.json"))
+    encoder = tb.Encoder(path)
+    assert encoder.joins == (merge in (("a", "b"), ("a", "'")))
+    texts = ["ab a, a b\na b", "é. a1a\na a' a's", "a,a 1a a"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [1, 31, 32, 33, 40_000, 100_001])
 def test_image_round_trip_and_checkpoints(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 50_000).astype(np.uint32)
