@@ -201,7 +201,7 @@ class Pieces:
     def __init__(self):
         self.number: defaultdict[str, int] = defaultdict(count().__next__)  # learns what it lacks
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
         self.done = 0  # pieces that have ids
 
     def fresh(self) -> list[str]:
@@ -237,7 +237,7 @@ class Encoder:
     meets white space is encoded whole.
     """
 
-    CACHE, IDS = 450_000, 8_000_000  # pieces and ids in each of two generations, about 250 bytes a piece
+    CACHE, IDS = 350_000, 8_000_000  # pieces and ids in each of two generations, some 180 MB in all
     GROUP, JOINED = 1 << 21, 64  # bytes of texts taken together; pieces in a string for the model
 
     def __init__(self, path: str):
@@ -292,21 +292,27 @@ class Encoder:
         """Give the fresh pieces their ids; a length of -1 is that of a piece that cannot be encoded alone."""
         known, before = self.known, self.older.number
         old, plain, other, bad = ([], []), ([], []), ([], []), []
+        plain_number, plain_piece = plain[0].append, plain[1].append
         for n, w in zip(range(len(known.number) - 1, -1, -1), known.fresh(), strict=False):
             if w in before:
-                kind, x = old, before[w]
+                old[0].append(n)
+                old[1].append(before[w])
+            elif self.joins and (w.isalpha() or w.strip(EDGES).isalpha()):
+                plain_number(n)
+                plain_piece(w)
             else:
                 bare = w.removeprefix("\n")
                 if not bare or bare[0].isspace() or bare[-1].isspace():
                     bad.append(n)
-                    continue
-                simple = self.joins and (bare.isalpha() or bare.strip(EDGES).isalpha() or (bare.isascii() and bare.isprintable() and "'" not in bare))
-                kind, x = (plain, w) if simple else (other, w if w[0] == "\n" else f" {w}")
-            kind[0].append(n)
-            kind[1].append(x)
+                elif self.joins and (bare.strip(EDGES).isalpha() or (bare.isascii() and bare.isprintable() and "'" not in bare)):
+                    plain_number(n)
+                    plain_piece(w)
+                else:
+                    other[0].append(n)
+                    other[1].append(w if w[0] == "\n" else f" {w}")
         if old[0]:
             length = self.older.length[old[1]]
-            known.put(old[0], _taken(self.older.ids, self.older.start[old[1]], np.maximum(length, 0)), length.clip(0))
+            known.put(old[0], _taken(self.older.ids, self.older.start[old[1]], length.clip(0)), length.clip(0))
             known.length[old[0]] = length
         if plain[0]:
             ids = self.joined(plain[1])
